@@ -7,10 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import line_rules
+from strandline.llm import language_id, line_rules, quality_rules, url_filter
 from strandline.llm.common import fold, table
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    dictionaries = language_id.learn(docs.where(fold(F.col("doc_id"), 4) != 2))
+    out = language_id.identify(docs.select("doc_id", "text"), dictionaries)
+    held_out = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    return out.select("doc_id", held_out, "lang_pred", "score", "margin", "accepted")
+
+
+#: The rules of the URL query.
+URL_RULES = (
+    url_filter.Rule("net/", url_filter.BLOCK),
+    url_filter.Rule("example.net/en/", url_filter.ALLOW),
+    url_filter.Rule("example.com/de/", url_filter.BLOCK),
+    url_filter.Rule("org/fr/", url_filter.ALLOW),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    return url_filter.judge(pages, url_filter.train(), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(fold(F.col("doc_id"), 3) != 1)
+    model = quality_rules.learn(docs, labels)
+    held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    return quality_rules.classify(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = line_rules.clean_lines(docs, keep=("doc_id",))
@@ -48,6 +78,9 @@ SELECT *, NOT base_failed AND NOT (100 * (word_chars - clean_chars) > {_R.lost_s
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_language_id": op6_language_id,
+    "op7_url_filter": op7_url_filter,
+    "op8_quality_rules": op8_quality_rules,
     "op9_line_rules": op9_line_rules,
 }
 ORACLE_SQL: dict[str, str] = {
