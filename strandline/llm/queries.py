@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language_id, line_rules, quality_rules, url_filter
+from strandline.llm import chat, language_id, line_rules, quality_rules, token_counts, url_filter
 from strandline.llm.common import fold, table
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(own)))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     dictionaries = language_id.learn(docs.where(fold(F.col("doc_id"), 4) != 2))
@@ -50,6 +57,10 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in line_rules.BOILERPLATE)
 _R = line_rules.LineRules()
 _OP9_SQL = rf"""
@@ -78,10 +89,12 @@ SELECT *, NOT base_failed AND NOT (100 * (word_chars - clean_chars) > {_R.lost_s
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_chat": op5_chat,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_rules": op9_line_rules,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_line_rules": _OP9_SQL,
