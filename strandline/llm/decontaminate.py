@@ -147,24 +147,31 @@ def banded_edits(pattern: bytes, text: bytes, low: int, high: int, budget: int)
     the text) keep low - budget <= j - i <= high + budget; None if they are over the budget."""
     low, high = low - budget, high + budget
     width = high - low + 1
-    lanes = np.arange(width)
+    lanes = np.arange(width, dtype=np.int32)
     codes = np.frombuffer(text, np.uint8)
     padded = np.zeros(len(pattern) + width + 2, np.int16) - 1  # text[j] for j from low on, -1 outside it
     a, z = max(low, 0), min(low + len(padded), len(text))
     if z > a:
         padded[a - low : z - low] = codes[a:z]
-    far = len(pattern) + len(text) + 1
-    inside = lambda i: (lanes + low + i >= 0) & (lanes + low + i <= len(text))
-    cost = np.where(inside(0), 0, far)
+    far = np.int32(len(pattern) + len(text) + 1)
+    cost = np.where((lanes + low >= 0) & (lanes + low <= len(text)), np.int32(0), far)
+    drop = np.full(width, far, np.int32)
     for i, c in enumerate(pattern, 1):
-        same = cost + (padded[i - 1 : i - 1 + width] != c)  # from (i - 1, j - 1), the same diagonal
-        drop = np.append(cost[1:], far) + 1  # from (i - 1, j), one diagonal up
-        best = np.where(inside(i), np.minimum(same, drop), far)
-        cost = np.minimum(np.minimum.accumulate(best - lanes) + lanes, far)  # from (i, j - 1), one diagonal down
-        cost = np.where(inside(i), cost, far)
-        if cost.min() > budget:
+        drop[:-1] = cost[1:]  # from (i - 1, j), one diagonal up
+        best = cost + (padded[i - 1 : i - 1 + width] != c)  # from (i - 1, j - 1), the same diagonal
+        np.minimum(best, drop + 1, out=best)
+        best -= lanes  # from (i, j - 1), one diagonal down
+        np.minimum.accumulate(best, out=best)
+        best += lanes
+        if low + i < 0:
+            best[: -(low + i)] = far
+        if low + i + width > len(text) + 1:
+            best[max(len(text) + 1 - low - i, 0) :] = far
+        cost = best
+        if not i & 7 and cost.min() > budget:
             return None
-    return int(cost.min())
+    least = int(cost.min())
+    return least if least <= budget else None
 
 
 def blocks(benchmark: DataFrame, settings: Settings = Settings()) -> list[list[tuple[int | None, str | None]]]:

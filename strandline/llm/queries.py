@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, language_id, line_rules, quality_rules, token_counts, url_filter
+from strandline.llm import chat, decontaminate, language_id, line_rules, quality_rules, subword, token_counts, url_filter
 from strandline.llm.common import fold, table
 
 
+def op2_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -89,6 +98,8 @@ SELECT *, NOT base_failed AND NOT (100 * (word_chars - clean_chars) > {_R.lost_s
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_subword": op2_subword,
+    "op4_decontaminate": op4_decontaminate,
     "op5_chat": op5_chat,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
