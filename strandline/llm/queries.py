@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, decontaminate, language_id, line_rules, quality_rules, subword, token_counts, url_filter
+from strandline.llm import chat, decontaminate, language_id, line_rules, near_dup, quality_rules, subword, token_counts, url_filter
 from strandline.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def op2_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -70,6 +74,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+_OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+r(id, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.v),
+c AS (SELECT id, min(v) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)
+"""
+
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in line_rules.BOILERPLATE)
 _R = line_rules.LineRules()
 _OP9_SQL = rf"""
@@ -99,6 +116,7 @@ SELECT *, NOT base_failed AND NOT (100 * (word_chars - clean_chars) > {_R.lost_s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_subword": op2_subword,
+    "op3_near_dup": op3_near_dup,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat": op5_chat,
     "op6_language_id": op6_language_id,
@@ -108,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dup": _OP3_SQL,
     "op9_line_rules": _OP9_SQL,
 }
