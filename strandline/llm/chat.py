@@ -49,6 +49,7 @@ FORMATTED = T.StructType(
 class Settings:
     tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json"
     loss_roles: tuple[str, ...] = ("assistant",)
+    batch_chars: int = 200_000  # of conversations encoded at once
 
 
 def escape(text: str) -> str:
@@ -107,7 +108,7 @@ class Encoder:
         out = []
         for found in self.model.encode_batch(texts, add_special_tokens=False):
             offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
-            out.append((found.ids, offsets[:, 0], offsets[:, 1]))
+            out.append((np.array(found.ids, np.int32), offsets[:, 0].astype(np.int32), offsets[:, 1].astype(np.int32)))
         return out
 
 
@@ -120,16 +121,25 @@ def conversations(rows: DataFrame) -> DataFrame:
 def format_conversations(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """For each conversation of rows (conv_id, turn, role, text): its string, token ids, offsets and loss mask."""
 
+    def frame(encoder: Encoder, group: list[tuple]) -> pd.DataFrame:
+        encoded = encoder.encode([text for _, text, _ in group])
+        rows = [(c, t, ids, a, z, mask_tokens(a, z, spans)) for (c, t, spans), (ids, a, z) in zip(group, encoded, strict=True)]
+        out = pd.DataFrame(rows, columns=FORMATTED.names)
+        out["conv_id"] = out["conv_id"].astype("Int64")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(settings.tokenizer)
         for batch in batches:
-            done = [render([(t["role"], t["text"]) for t in turns], settings.loss_roles) for turns in batch["turns"]]
-            out = []
-            for conv, (text, spans), (ids, starts, ends) in zip(batch["conv_id"], done, encoder.encode([t for t, _ in done]), strict=True):
-                out.append((conv, text, ids, starts, ends, mask_tokens(starts, ends, spans)))
-            frame = pd.DataFrame(out, columns=FORMATTED.names)
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
-            yield frame
+            group, size = [], 0
+            for conv, turns in zip(batch["conv_id"], batch["turns"], strict=True):
+                group.append((conv, *render([(t["role"], t["text"]) for t in turns], settings.loss_roles)))
+                size += len(group[-1][1])
+                if size >= settings.batch_chars:
+                    yield frame(encoder, group)
+                    group, size = [], 0
+            if group:
+                yield frame(encoder, group)
 
     return conversations(rows).mapInPandas(run, FORMATTED)
 
