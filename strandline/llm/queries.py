@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, decontaminate, language_id, line_rules, near_dup, quality_rules, subword, token_counts, url_filter
+from strandline.llm import chat, decontaminate, language_id, line_rules, lm_score, near_dup, quality_rules, subword, token_counts, url_filter
 from strandline.llm.common import fold, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = lm_score.score_documents(docs, docs.where(fold(F.col("doc_id"), 7) != 2))
+    held_out = (fold(F.col("doc_id"), 7) == 2).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op2_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -115,6 +122,7 @@ SELECT *, NOT base_failed AND NOT (100 * (word_chars - clean_chars) > {_R.lost_s
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_subword": op2_subword,
     "op3_near_dup": op3_near_dup,
     "op4_decontaminate": op4_decontaminate,
