@@ -219,21 +219,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     return out
 
 
-def contaminated(benchmark: DataFrame, settings: Settings = Settings()):
-    """A function of a text column: whether any item occurs in it."""
-    tests = []
-    for items in blocks(benchmark, settings):
+def _tester(items: list[tuple[int | None, str | None]], settings: Settings):
+    @F.arrow_udf("boolean")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(items, settings)
+        for batch in batches:
+            hit = np.zeros(len(batch), bool)
+            for text, *_ in index.search([normalise(t) for t in batch.to_pylist()]):
+                hit[text] = True
+            yield pa.array(hit)
+
+    return found
 
-        @F.arrow_udf("boolean")
-        def found(batches: Iterator[pa.Array], items=items) -> Iterator[pa.Array]:
-            index = Index(items, settings)
-            for batch in batches:
-                hit = np.zeros(len(batch), bool)
-                for text, *_ in index.search([normalise(t) for t in batch.to_pylist()]):
-                    hit[text] = True
-                yield pa.array(hit)
 
-        tests.append(found)
+def contaminated(benchmark: DataFrame, settings: Settings = Settings()):
+    """A function of a text column: whether any item occurs in it."""
+    tests = [_tester(items, settings) for items in blocks(benchmark, settings)]
 
     def test(text: Column) -> Column:
         out = F.lit(False)

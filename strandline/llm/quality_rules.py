@@ -17,7 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE
+from strandline.llm.line_rules import let, words_of
+
+
+STATISTICS = (
+    "log_chars", "log_words", "word_length", "symbols", "bars", "exclaims", "stops", "digits", "upper", "distinct",
+    "distinct_root", "line_words", "same_lines",
+)
 
 
 @dataclass(frozen=True)
@@ -32,30 +38,36 @@ class Settings:
     steps: int = 600
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers of a text, all by built-in expressions."""
+def statistics(text: Column) -> Column:
+    """Numbers of a text, a struct of doubles, all by built-in expressions; the text is split once."""
     t = F.coalesce(text, F.lit(""))
+    parts = F.struct(t.alias("t"), words_of(t).alias("words"), F.split(t, "\n").alias("lines"))
+    return let(parts, lambda x: _statistics(x["t"], x["words"], x["lines"]))
+
+
+def _statistics(t: Column, words: Column, lines: Column) -> Column:
     n = F.length(t)
-    words = F.filter(F.split(t, SPACE), lambda w: w != "")
+    n_words, n_lines = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
     share = lambda found: found / F.greatest(n, F.lit(1))
     without = lambda chars: n - F.length(F.translate(t, chars, ""))
-    n_words = F.size(words)
-    lines = F.split(t, "\n")
-    return {
+    distinct = F.size(F.array_distinct(words))
+    found = {
         "log_chars": F.log1p(n.cast("double")),
-        "log_words": F.log1p(n_words.cast("double")),
-        "word_length": n / F.greatest(n_words, F.lit(1)),
+        "log_words": F.log1p(F.size(words).cast("double")),
+        "word_length": n / n_words,
         "symbols": share(without("#*$%&<>@~^=+_{}[]\\")),
         "bars": share(without("|")),
         "exclaims": share(without("!?")),
         "stops": share(without(".,;:")),
         "digits": share(without("0123456789")),
         "upper": share(n - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))),
-        "distinct": F.size(F.array_distinct(words)) / F.greatest(n_words, F.lit(1)),
-        "distinct_root": F.size(F.array_distinct(words)) / F.sqrt(F.greatest(n_words, F.lit(1)).cast("double")),
-        "line_words": n_words / F.greatest(F.size(lines), F.lit(1)),
-        "same_lines": 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
+        "distinct": distinct / n_words,
+        "distinct_root": distinct / F.sqrt(n_words.cast("double")),
+        "line_words": F.size(words) / n_lines,
+        "same_lines": 1 - F.size(F.array_distinct(lines)) / n_lines,
     }
+    assert tuple(found) == STATISTICS
+    return F.struct(*[c.cast("double").alias(k) for k, c in found.items()])
 
 
 #: One test of a rule: statistic, whether it must be at most the bound (else above it), bound.
@@ -67,8 +79,8 @@ class Ensemble:
     bias: float
     rules: list[tuple[float, list[Test]]] = field(default_factory=list)
 
-    def column(self, stats: dict[str, Column]) -> Column:
-        """The score as a Spark expression over statistic columns."""
+    def column(self, stats: Column) -> Column:
+        """The score as a Spark expression over a struct of statistics."""
         total = F.lit(self.bias)
         for weight, tests in self.rules:
             holds = F.lit(True)
@@ -177,21 +189,17 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     )
     # sample_rows pairs of two numbers at most, whatever the size of the tables
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    stats = statistics(F.col("text"))
-    found = rows.select("doc_id", "_y", *[c.cast("double").alias(k) for k, c in stats.items()]).toPandas()
-    found = found.sort_values(["doc_id", "_y", *stats]).reset_index(drop=True)
-    return fit(list(stats), found[list(stats)].to_numpy(float), found["_y"].to_numpy(float), settings)
+    found = rows.select("doc_id", "_y", statistics(F.col("text")).alias("_s")).select("doc_id", "_y", "_s.*").toPandas()
+    found = found.sort_values(["doc_id", "_y", *STATISTICS]).reset_index(drop=True)
+    return fit(list(STATISTICS), found[list(STATISTICS)].to_numpy(float), found["_y"].to_numpy(float), settings)
 
 
 def score(text: Column, model: Ensemble) -> Column:
     """The score of a text under the model, between 0 and 1."""
-    return model.column({k: c.cast("double") for k, c in statistics(text).items()})
+    return let(statistics(text), model.column)
 
 
 def classify(docs: DataFrame, model: Ensemble, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep with score and predicted. Statistics are computed once, then tested by the rules."""
-    used = {name for _, tests in model.rules for name, _, _ in tests}
-    stats = {k: c.cast("double") for k, c in statistics(F.col("text")).items() if k in used}
-    named = docs.select(*keep, *[c.alias(f"_s_{k}") for k, c in stats.items()])
-    scored = named.select(*keep, model.column({k: F.col(f"_s_{k}") for k in stats}).alias("score"))
+    """The columns in keep with score and predicted."""
+    scored = docs.select(*keep, score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
