@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: The white space that separates words in every operator: space and the controls 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,6 +26,12 @@ def fold(doc_id: Column, m: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
 
 
+def thinned(key: Column, want: int, total: int | Column) -> Column:
+    """True for about twice as many rows as wanted of so many, by the key's hash; for all where they are few. What a bounded
+    sample is then cut from stays small however many rows there are."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) * (total if isinstance(total, Column) else F.lit(total)) < F.lit(2 << 30) * F.lit(want)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -40,6 +49,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks once made. Its lineage stays: what a lost executor held is made again. For tables
+    that are read a few times soon; where lineage must be cut, settle() is used."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -51,3 +66,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -5,13 +5,14 @@ are linked if the similarity of their sets reaches the threshold. The steps:
 
 1. One pass over the texts gives each document its set's size and fingerprint, MinHash bands and odd sketch. The set
    itself is not kept.
-2. Classes that share a band lie in a bucket. In each bucket the classes are paired with the smallest id only, so a
-   bucket of n gives n - 1 pairs, not n squared.
+2. Classes that share a band lie in a bucket. First each class is paired with one other of its buckets, the most famous,
+   so a group of n near copies gives n - 1 pairs, not n squared.
 3. A pair whose sketches differ in too many bits is dropped: every unequal MinHash value flips two bits at most, and
    the bound leaves the loss of a true link below one in a million. The others are confirmed on their full sets.
-4. Confirmed links give components. Buckets that still hold several components may hide links between two classes
-   neither of which is the smallest id; there, classes of different components are joined under the sketch bound and
-   confirmed as before. A link inside one component can't change it and isn't sought.
+4. Confirmed links give components. Buckets that still hold several components may hide links between them: there, finer
+   sketches tell near from not near enough; classes are paired with the most famous of each bucket, and what is then
+   still apart is joined, component against component, under the finer bound. A link inside a component can't change
+   it and isn't sought.
 5. Components are found by alternating stars over tables in the shared folder; nothing is gathered on the driver.
 
 Defined results. A null or empty text, or one without words, has an empty set, is linked with nothing and is its own
@@ -32,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import settle
+from strandline.llm.common import hold, settle, slices
+from strandline.llm.words import WordHasher, constants, plain, scramble
 
 _U = np.uint64
 
@@ -45,20 +47,11 @@ class Settings:
     rows: int = 5  # MinHash values of a band: a pair at the threshold is missed once in 1.3 million
     sketch_words: int = 8  # of 64 bits
     sketch_bits: int = 80  # most bits in which sketches of a pair may differ: 40 unequal values of 120, 6 sigma from 18
-    chunk_bytes: int = 1 << 20  # of texts hashed at once
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that mixes all bits."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _constants(seed: int, n: int) -> np.ndarray:
-    """n odd pseudo-random numbers."""
-    with np.errstate(over="ignore"):
-        return _scramble(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed)) | _U(1)
+    fine_values: int = 1024  # MinHash values and words of the finer sketches that buckets of several components get
+    fine_words: int = 32
+    fine_bits: int = 364  # at the threshold 265 on average, with a deviation of 19; 0.75 gives 400 or so
+    filter_bits: int = 26  # most bits of the bitmap of ids, as a power of two: 8 MB
+    chunk_bytes: int = 1 << 18  # of texts hashed at once
 
 
 class Hasher:
@@ -66,18 +59,9 @@ class Hasher:
 
     def __init__(self, settings: Settings = Settings()) -> None:
         self.settings = s = settings
-        self.byte = _constants(1, 256)
-        self.place = _constants(2, s.shingle_words)
-        self.space = np.zeros(256, bool)
-        self.space[[32, *range(9, 14)]] = True
-        self.factors = _constants(3, s.bands * s.rows)
-        self.base = int(_constants(4, 1)[0])
-        self._powers(1 << 16)
-
-    def _powers(self, n: int) -> None:
-        """Powers of the base and of its inverse, enough for n bytes."""
-        self.up = np.cumprod(np.full(n + 1, self.base, np.uint64)) * _U(pow(self.base, -1, 1 << 64))
-        self.down = np.cumprod(np.full(n + 1, pow(self.base, -1, 1 << 64), np.uint64)) * _U(self.base)
+        self.words = WordHasher()
+        self.place = constants(2, s.shingle_words)
+        self.factors = constants(3, s.bands * s.rows)
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
@@ -85,7 +69,7 @@ class Hasher:
         chunk: list[bytes] = []
         size = 0
         for text in texts:
-            chunk.append((text or "").encode().lower())  # bytes.lower() changes A-Z alone
+            chunk.append(plain(text))
             size += len(chunk[-1]) + 1
             if size >= self.settings.chunk_bytes:
                 out += self._sets(chunk)
@@ -96,36 +80,28 @@ class Hasher:
         if not texts:
             return []
         with np.errstate(over="ignore"):
-            data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-            if len(data) >= len(self.up):
-                self._powers(len(data) * 2)
-            word = ~self.space[data]
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
-            starts, ends = edges[::2], edges[1::2]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[data] * self.up[: len(data)])])
-            words = _scramble((sums[ends] - sums[starts]) * self.down[starts])
+            found = self.words.split(texts)
+            words = found.hashes
             k = self.settings.shingle_words
             n = max(len(words) - k + 1, 0)
             shingles = np.zeros(n, np.uint64)
             for j in range(k):
                 shingles += words[j : j + n] * self.place[j]
-            shingles = _scramble(shingles)
-            borders = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+            shingles = scramble(shingles)
             out = []
-            for a, z in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            for a, z in zip(found.borders[:-1].tolist(), found.borders[1:].tolist(), strict=True):
                 if z - a >= k:
                     out.append(np.unique(shingles[a : z - k + 1]))
                 elif z > a:  # the words there are, marked by their number
-                    out.append(_scramble((words[a:z] * self.place[: z - a]).sum(keepdims=True) + _U(z - a)))
+                    out.append(scramble((words[a:z] * self.place[: z - a]).sum(keepdims=True) + _U(z - a)))
                 else:
                     out.append(np.zeros(0, np.uint64))
             return out
 
-    def digests(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of non-empty sets: two-number fingerprints, band hashes and odd sketches, a row for each set."""
-        s, n = self.settings, len(sets)
-        minima = np.empty((n, s.bands * s.rows), np.uint64)
-        prints = np.empty((n, 2), np.uint64)
+    def minima(self, sets: list[np.ndarray], factors: np.ndarray) -> np.ndarray:
+        """The mixed MinHash values of non-empty sets, a row for each set."""
+        n = len(sets)
+        out = np.empty((n, len(factors)), np.uint64)
         with np.errstate(over="ignore"):
             at = 0
             while at < n:  # as many sets at once as stay in the processor's cache
@@ -135,21 +111,43 @@ class Hasher:
                     stop += 1
                 flat = np.concatenate(sets[at:stop])
                 first = np.cumsum([0, *map(len, sets[at : stop - 1])])
-                for j, factor in enumerate(self.factors):
-                    minima[at:stop, j] = np.minimum.reduceat(flat * factor, first)
-                prints[at:stop, 0] = np.add.reduceat(_scramble(flat), first)
-                prints[at:stop, 1] = np.add.reduceat(_scramble(flat ^ _U(0x5851F42D4C957F2D)), first)
+                for j, factor in enumerate(factors):
+                    out[at:stop, j] = np.minimum.reduceat(flat * factor, first)
                 at = stop
-            place = _constants(5, s.bands * s.rows)
-            mixed = _scramble(minima * place + place)
-            bands = _scramble(mixed.reshape(n, s.bands, s.rows).sum(axis=2) + np.arange(s.bands, dtype=np.uint64))
-            # The odd sketch: each (position, value) toggles one bit.
-            bit = mixed % _U(s.sketch_words * 64)
-            sketch = np.zeros((n, s.sketch_words), np.uint64)
-            rows = np.arange(n)
-            for j in range(mixed.shape[1]):
-                sketch[rows, (bit[:, j] >> _U(6)).astype(np.int64)] ^= _U(1) << (bit[:, j] & _U(63))
-        return prints, bands, sketch
+            place = constants(5, len(factors))
+            return scramble(out * place + place)
+
+    @staticmethod
+    def odd_sketch(values: np.ndarray, words: int) -> np.ndarray:
+        """Parity bitmaps: each value (its place is mixed in) toggles one bit of its row."""
+        bit = values % _U(words * 64)
+        sketch = np.zeros((len(values), words), np.uint64)
+        rows = np.arange(len(values))
+        for j in range(values.shape[1]):
+            sketch[rows, (bit[:, j] >> _U(6)).astype(np.int64)] ^= _U(1) << (bit[:, j] & _U(63))
+        return sketch
+
+    def digests(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of non-empty sets: two-number fingerprints, band hashes and odd sketches, a row for each set."""
+        s, n = self.settings, len(sets)
+        values = self.minima(sets, self.factors)
+        prints = np.empty((n, 2), np.uint64)
+        with np.errstate(over="ignore"):
+            for i, x in enumerate(sets):
+                prints[i] = scramble(x).sum(), scramble(x ^ _U(0x5851F42D4C957F2D)).sum()
+            bands = scramble(values.reshape(n, s.bands, s.rows).sum(axis=2) + np.arange(s.bands, dtype=np.uint64))
+        return prints, bands, self.odd_sketch(values, s.sketch_words)
+
+    def fine_sketches(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Odd sketches of many values; a set that is empty has an empty one."""
+        s = self.settings
+        out = np.zeros((len(sets), s.fine_words), np.uint64)
+        full = [i for i, x in enumerate(sets) if len(x)]
+        factors = constants(6, s.fine_values)
+        for at in range(0, len(full), 512):
+            rows = full[at : at + 512]
+            out[rows] = self.odd_sketch(self.minima([sets[i] for i in rows], factors), s.fine_words)
+        return out
 
 
 FEATURES = T.StructType(
@@ -162,7 +160,13 @@ FEATURES = T.StructType(
         T.StructField("sketch", T.ArrayType(T.LongType(), False)),
     ]
 )
-SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
+SETS = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("shingles", T.ArrayType(T.LongType(), False)),
+        T.StructField("fine", T.ArrayType(T.LongType(), False)),
+    ]
+)
 
 
 def _long_lists(rows: np.ndarray) -> pa.Array:
@@ -175,7 +179,7 @@ def features(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(settings)
-        for batch in batches:
+        for batch in slices(batches):
             sets = hasher.sets(batch.column("text").to_pylist())
             sizes = np.array([len(x) for x in sets], np.int64)
             full = np.flatnonzero(sizes)
@@ -191,24 +195,33 @@ def features(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def shingle_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """id and shingles of each row of docs (doc_id, text)."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(), *, fine: bool = False) -> DataFrame:
+    """id, shingles and (empty unless asked for) the finer sketch of the docs (doc_id, text) named in ids (id).
+
+    The texts are passed once more, without a shuffle; only the sets of named ids (and of the few others that a bitmap of
+    hashed ids lets through) are made."""
+    size, bitmap = _filter_of(ids, settings)
+    bit = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1)).alias("bit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(settings)
-        for batch in batches:
+        for batch in slices(batches):
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((bitmap[bit >> 6] >> (bit & 63)) & 1 == 1))
             sets = hasher.sets(batch.column("text").to_pylist())
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             borders = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))], names=SETS.names)
+            sketch = hasher.fine_sketches(sets) if fine else np.zeros((len(sets), 0), np.uint64)
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat)), _long_lists(sketch)]
+            yield pa.RecordBatch.from_arrays(columns, names=SETS.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return hold(docs.select("doc_id", "text", bit).mapInArrow(run, SETS))
 
 
-def _near(settings: Settings) -> Column:
-    """Whether the sketches sa and sb of a pair allow a link."""
-    bits = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(settings.sketch_words)]
-    return sum(bits[1:], bits[0]) <= settings.sketch_bits
+def _near(words: int, most: int, a: str = "sa", b: str = "sb") -> Column:
+    """Whether two sketches differ in so few bits that a link is possible."""
+    bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)]
+    return sum(bits[1:], bits[0]) <= most
 
 
 def _like_sizes(settings: Settings) -> Column:
@@ -220,11 +233,27 @@ def _side(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets reach the threshold. Only the texts of named ids are read again."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), settings)
-    sets = settle(sets.distinct())  # rows that repeat an id and a text are one
+def _sketched(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    both = pairs.join(_side(classes, "b"), "b").join(_side(classes, "a"), "a")
+    return both.where(_like_sizes(settings) & _near(settings.sketch_words, settings.sketch_bits)).select("a", "b").distinct()
+
+
+def _filter_of(ids: DataFrame, settings: Settings) -> tuple[int, np.ndarray]:
+    """A bitmap of hashed ids: its size in bits, bounded by filter_bits, and its words. At most 2 ** filter_bits / 64 rows
+    come to the driver, whatever the number of ids; where they are too many, the bitmap lets more rows through."""
+    n = ids.count()
+    size = 1 << min(settings.filter_bits, max(10, (16 * n).bit_length()))
+    bit = F.xxhash64("id").bitwiseAND(F.lit(size - 1))
+    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("m"))
+    bitmap = np.zeros(size >> 6, np.int64)
+    for row in words.groupBy("w").agg(F.bit_or("m").alias("m")).toLocalIterator():
+        bitmap[row["w"]] = row["m"]
+    return size, bitmap
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets (id, shingles) reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(right, "b").join(left, "a")
@@ -250,36 +279,59 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _crowd(classes: DataFrame) -> DataFrame:
+    """Rows (key, place, id, fame) of the buckets of several classes. An id's fame is the size of all its buckets: the classes
+    nearest to the middle of a group share most bands with the others."""
+    banded = classes.select("id", F.posexplode("bands").alias("place", "key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("_x"), F.max("id").alias("_y"))
+    rows = banded.join(shared.where("_x <> _y").select("key", "n"), "key")
+    return rows.select("key", "place", "id").join(rows.groupBy("id").agg(F.sum("n").alias("fame")), "id")
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """id and component of the classes (id, n_shingles, bands, sketch) that are linked to others."""
-    banded = classes.select("id", F.explode("bands").alias("key"))
-    centres = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_last")).where("centre <> _last")
-    crowd = settle(banded.join(centres.select("key", "centre"), "key"))  # the buckets of several classes
-    stars = crowd.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    sized = _side(classes, "a"), _side(classes, "b")
-    pairs = stars.join(sized[1], "b").join(sized[0], "a").where(_like_sizes(settings) & _near(settings)).select("a", "b").distinct()
-    links = settle(confirm(settle(pairs), docs, settings))
+    crowd = settle(_crowd(classes))
+    star = F.max(F.struct("fame", (-F.col("id")).alias("id")))  # the most famous, of equals the smallest id
+    # First each class with one other: the most famous of all in its buckets.
+    centres = crowd.groupBy("key").agg(star.alias("m"))
+    stars = crowd.join(centres, "key").groupBy(F.col("id").alias("b")).agg((-F.max("m")["id"]).alias("a"))
+    pairs = settle(_sketched(stars.where("a <> b"), classes, settings))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = settle(confirm(pairs, shingle_sets(docs, named, settings), settings))
     found = components(links)
 
-    labelled = crowd.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    # Then what buckets of several components hold, under finer sketches: first with the most famous of each bucket.
+    labelled = crowd.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    split = labelled.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y"), star.alias("m")).where("_x <> _y")
+    rest = settle(labelled.join(split.select("key", "m"), "key"))
+    sets = shingle_sets(docs, rest.select("id").distinct(), settings, fine=True)
+    finer = classes.select("id", "n_shingles", "bands").join(sets.select("id", F.col("fine").alias("sketch")), "id")
+    side = lambda n: finer.select(F.col("id").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
+    near = _like_sizes(settings) & _near(settings.fine_words, settings.fine_bits)
+    stars = rest.select((-F.col("m.id")).alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    stars = stars.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b").distinct()
+    links = settle(links.unionByName(confirm(stars, sets, settings)))
+    found = components(links)
+
+    # Last all pairs of different components that such buckets still hold, each pair in the first band it shares.
+    labelled = rest.select("key", "place", "id").join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
     split = labelled.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).where("_x <> _y").select("key")
-    rest = settle(labelled.join(split, "key").join(classes.select("id", "n_shingles", "sketch"), "id"))
-    left = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    here = (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & _like_sizes(settings) & _near(settings)
-    pairs = settle(left.join(right, here).select("a", "b").distinct())
+    left = settle(labelled.select("key", "place", "id", "c").join(split, "key").join(finer, "id"))
+    one = lambda n: left.select(
+        *[F.col(c).alias(f"{k}{n}") for k, c in (("k", "key"), ("", "id"), ("c", "c"), ("n", "n_shingles"), ("s", "sketch"), ("b", "bands"), ("p", "place"))]
+    )
+    first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("pa") + 1
+    here = (F.col("ka") == F.col("kb")) & (F.col("ca") < F.col("cb")) & near & first
+    pairs = settle(one("a").join(one("b"), here).select("a", "b").distinct())
     if pairs.isEmpty():
         return found
-    more = settle(confirm(pairs, docs, settings))
-    if more.isEmpty():
-        return found
-    return components(more.unionByName(links))
+    return components(links.unionByName(confirm(pairs, sets, settings)))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_shingles, component_id and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = settle(features(docs, settings))
+    found = hold(features(docs, settings))
     prints = ["p0", "p1", "n_shingles"]
     full = found.where("n_shingles > 0")
     classes = settle(
