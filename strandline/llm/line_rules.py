@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE
+from strandline.llm.common import SPACE, free_name
 
 #: Phrases of page furniture, lower case.
 BOILERPLATE = (
@@ -115,22 +115,21 @@ def _covered(keys: Column, window: int) -> Column:
 def clean_lines(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), *, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns named in keep, with the counts of each text, its cleaned text and the verdict."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = df.select(*keep, t.alias("_t"), words_of(t).alias("_w"), F.split(t, "\n").alias("_l"))
-    base = base.withColumn("_f", F.filter("_l", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    base = base.withColumn("_k", F.filter("_f", lambda x: ~line_fails(x, rules)))
-    whole = F.length(F.array_join("_w", "")).cast("long")
-    left = F.length(F.regexp_replace(F.array_join("_k", ""), SPACE, "")).cast("long")
+    whole, words, lines, left = (free_name(df, n) for n in ("_text", "_words", "_lines", "_left"))
+    base = df.select(*keep, t.alias(whole), words_of(t).alias(words), F.split(t, "\n").alias(lines))
+    base = base.withColumn(lines, F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    base = base.withColumn(left, F.filter(lines, lambda x: ~line_fails(x, rules)))
     out = base.select(
         *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        whole.alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_f") - F.size(F.array_distinct("_f"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_w")).alias("n_repeat_words"),
-        F.size("_f").cast("long").alias("n_lines"),
-        F.size("_k").cast("long").alias("n_lines_kept"),
-        left.alias("clean_chars"),
-        F.array_join("_k", "\n").alias("clean_text"),
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col(words)).cast("long").alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(left).cast("long").alias("n_lines_kept"),
+        F.length(F.regexp_replace(F.array_join(left, ""), SPACE, "")).cast("long").alias("clean_chars"),
+        F.array_join(left, "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     lost = 100 * (F.col("word_chars") - F.col("clean_chars")) > rules.lost_share * F.col("word_chars")
