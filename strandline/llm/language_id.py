@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.common import thinned
+
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 PREDICTION = T.StructType(
@@ -58,9 +60,12 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, byt
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.sample_languages).collect()
     langs = [r["lang"] for r in counts]
+    if not langs:
+        return {}
+    total = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["count"])]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     picked = (
-        known.where(F.col("lang").isin(langs))
+        known.where(F.col("lang").isin(langs) & thinned(F.col("doc_id"), settings.sample_docs, total))
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= settings.sample_docs)
         .select("lang", "_rank", F.substring("text", 1, settings.dictionary_bytes).alias("text"))

@@ -11,12 +11,13 @@ repeat. Without labelled rows of both classes the score is the share of ones amo
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import thinned
 from strandline.llm.line_rules import let, words_of
 
 
@@ -33,7 +34,7 @@ class Settings:
     depth: int = 3
     bins: int = 32
     rate: float = 0.3
-    min_leaf: int = 20
+    min_leaf: int = 20  # rows of a node, fewer in samples of under 800
     penalty: float = 0.002  # of the lasso, on the mean log loss
     steps: int = 600
 
@@ -141,6 +142,7 @@ def fit(names: list[str], x: np.ndarray, y: np.ndarray, settings: Settings = Set
     """Rules and weights from statistics x (rows by names) and labels y (0 or 1)."""
     if not len(y):
         return Ensemble(0.0)
+    settings = replace(settings, min_leaf=max(2, min(settings.min_leaf, len(y) // 40)))
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     bias = float(np.log(mean / (1 - mean)))
     if y.min() == y.max():
@@ -181,8 +183,9 @@ def _lasso(z: np.ndarray, y: np.ndarray, bias: float, settings: Settings) -> tup
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Ensemble:
     """An ensemble from docs (doc_id, text) and labels (doc_id, quality): a bounded sample, the same for the same rows."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     picked = (
-        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+        known.where(thinned(F.col("doc_id"), settings.sample_rows, known.count()))
         .select("doc_id", F.col("quality").cast("int").alias("_y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_y")
         .limit(settings.sample_rows)
