@@ -70,9 +70,12 @@ class Pipeline:
 
     def _read(self, source_type: str | None, batches: list) -> DataFrame:
         """The records of files of one source, each with its batch_id."""
+        return canonical.unite(self._parts(source_type, batches))
+
+    def _parts(self, source_type: str | None, batches: list) -> list[DataFrame]:
+        """The same in parts: files of one header are read together, others apart."""
         ids = self.spark.createDataFrame([(b["raw_file_path"], b["batch_id"]) for b in batches], "raw string, batch_id string")
-        parts = []
-        if (source_type or "csv") == "csv":  # files of one header are read together
+        if (source_type or "csv") == "csv":
             by_header: dict[tuple, list[str]] = {}
             for b in batches:
                 by_header.setdefault(tuple(readers.csv_header(self.spark, b["raw_file_path"])), []).append(b["raw_file_path"])
@@ -81,10 +84,10 @@ class Pipeline:
             parts = [readers.read_messages(self.spark, [b["raw_file_path"] for b in batches])]
         else:
             parts = [readers.read_lines(self.spark, [b["raw_file_path"] for b in batches])]
-        rows = canonical.unite(parts)
         name = F.element_at(F.split("file", "/"), -1)
         ids = ids.withColumn("name", F.element_at(F.split("raw", "/"), -1)).select("name", "batch_id")
-        return rows.withColumn("name", name).join(F.broadcast(ids), "name").drop("name", "file")  # one row for each file read
+        ids = F.broadcast(ids)  # one row for each file read
+        return [rows.withColumn("name", name).join(ids, "name").drop("name", "file") for rows in parts]
 
     # Ingest
 
@@ -131,8 +134,9 @@ class Pipeline:
                 self.catalog.set_status(done, cat.VALIDATED)
                 out |= {b["batch_id"]: True for b in batches}
                 continue
-            rows = self._read(types.get(source, "csv"), batches)
-            errors = self._errors(types.get(source, "csv"), rows, columns)
+            parts = self._parts(types.get(source, "csv"), batches)
+            rows = canonical.unite(parts)
+            errors = canonical.unite([self._errors(types.get(source, "csv"), part, columns) for part in parts])
             found = {r["batch_id"]: r for r in validate.verdicts(rows, errors).collect()}  # one row for each file
             sample: dict[str, list] = {}
             for e in validate.error_sample(errors).collect():  # twenty at most for each file

@@ -65,7 +65,9 @@ def read_csv(spark: SparkSession, path: str, header: Sequence[str] | None = None
         header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_raw"
     )
     rows = _numbered(_marked(reader.csv(path)))
-    return rows.withColumn("malformed", F.col("_raw").isNotNull()).drop("_raw")
+    # Spark refuses to read the raw record alone, so the flag leans on a cell as well.
+    read = F.coalesce(F.length(F.col(f"`{header[0]}`")), F.lit(0)) >= 0
+    return rows.withColumn("malformed", F.col("_raw").isNotNull() & read).drop("_raw")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
