@@ -11,7 +11,7 @@ from strandline.operators.rules import RuleSet
 from strandline.plans.catalog import Catalog, may
 from strandline.plans.pipeline import Pipeline
 from strandline.plans.versioned import EVENT_TIME, VersionedTable
-from strandline.sources import readers, sinks
+from strandline.sources import generate, readers, sinks
 from strandline.streaming import incremental
 
 NOW = dt.datetime(2025, 3, 1, 12, tzinfo=dt.timezone.utc)
@@ -193,3 +193,18 @@ def test_stream(spark, tmp_path):
     assert run() == {"a": "mail [REDACTED_EMAIL]"}
     write(tmp_path / "in" / "2.csv", "patient_id,visit_date,notes\na,2,x\nb,1,y\n")
     assert run() == {"a": "x", "b": "y"} and len(table.commits()) == 2
+
+
+def test_generated_feeds_pass_the_pipeline(spark, tmp_path):
+    want = generate.write_feeds(spark, str(tmp_path / "landing"), 60, parts=2)
+    assert generate.people(spark, 20).collect() == generate.people(spark, 20, parts=7).orderBy("n").collect()
+    for f in (tmp_path / "landing").rglob("*"):
+        if f.is_file() and (f.name.startswith(("_", ".")) or not f.stat().st_size):
+            f.unlink()
+    p = Pipeline(spark, str(tmp_path / "lake"), now=NOW)
+    done = p.run(str(tmp_path / "landing"))
+    assert done["ingested"] == done["validated"] == done["scrubbed"] == 6 and done["tables"] == 3
+    got = {r["source_name"]: r["n"] for r in p.catalog.batches().groupBy("source_name").agg(F.sum("total_rows").alias("n")).collect()}
+    assert got == want
+    ready = spark.read.option("mergeSchema", True).parquet(*[r["version_path"] for r in p.catalog.batches().select("version_path").distinct().collect()])
+    assert ready.count() == 180 and ready.where("note_text LIKE '%555-%' OR note_text LIKE '%@%' OR note_text LIKE '% Mill Road%'").count() == 0
