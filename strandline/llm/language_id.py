@@ -68,7 +68,7 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, byt
         known.where(F.col("lang").isin(langs) & thinned(F.col("doc_id"), settings.sample_docs, total))
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= settings.sample_docs)
-        .select("lang", "_rank", F.substring("text", 1, settings.dictionary_bytes).alias("text"))
+        .select("lang", "_rank", "text")
     )
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in picked.toLocalIterator():
