@@ -80,3 +80,11 @@ def test_rules_load_in_order_of_id(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         RuleSet(spark, mode="best")
+
+
+def test_every_document_is_redacted_as_python_does(spark, sf_dir):
+    from strandline.queries import QUERIES
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in QUERIES["scrub_chain"](spark, sf_dir).collect():
+        assert (r["redacted"], r["rules"]) == python_chain(docs[r["doc_id"]])
