@@ -102,7 +102,7 @@ class Classifier:
     def sizes(self, text: str | None) -> list[int] | None:
         """The compressed size under each language, or None if there is nothing to compress."""
         plain = letters(text)
-        if not plain or not self.langs:
+        if not self.langs or not any(map(str.isalpha, plain)):  # superscripts and the like are no letters
             return None
         step = self.settings.piece_chars
         pieces = [plain[i : i + step].encode() for i in range(0, len(plain), step)]
