@@ -17,6 +17,8 @@ from strandline.operators import canonical, relational, scrub, validate
 from strandline.operators.metadata import Declared
 from strandline.operators.rules import LAST_MATCH, RULES, Rule, RuleSet, by_id, match_counts, rules_applied, specific_first
 from strandline.plans import catalog, versioned
+from strandline.session import scratch
+from strandline.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -491,3 +493,122 @@ def commit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _t(spark, sf_dir, "documents").select("source", F.col("lang").alias("version_ts"), F.col("n_chars").alias("modified"), F.concat(F.lit("p"), "doc_id").alias("path"))
     return versioned.latest_artifact(files)
+
+
+# Files: tables are written in a feed's format to the shared folder and read again by the readers.
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', \"' || c_mktsegment || '\"' AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, false AS malformed FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"'))
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), quoted.alias("c_name"), F.col("c_nationkey").cast("string").alias("c_nationkey"))
+    path = sinks.write_csv(rows, scratch(spark))
+    return readers.read_csv(spark, path, rows.columns).select("c_custkey", "c_name", "c_nationkey", "malformed")
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines are numbered within each file; every number up to the file's length turns up once, or the row would be lost."""
+    line = F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").alias("k")))
+    path = sinks.write_lines(_t(spark, sf_dir, "events").select(line.alias("line")), scratch(spark))
+    rows = readers.read_lines(spark, path)
+    top = rows.groupBy("file").agg(F.max("row_no").alias("_last"), F.countDistinct("row_no").alias("_n"))
+    whole = rows.join(top.where("_last = _n").select("file"), "file")
+    return readers.object_columns(whole, ["event_id", "k"]).select(F.col("event_id").cast("long").alias("event_id"), "k")
+
+
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS patient_id, o_orderpriority AS patient_name, o_orderstatus AS address FROM orders")
+def messages_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.write_messages(_messages(spark, sf_dir), scratch(spark))
+    return canonical.canonicalise(canonical.message_columns(readers.read_messages(spark, path)), "hospital_c_hl7").select("patient_id", "patient_name", "address")
+
+
+# The versioned table and the catalogue on storage.
+
+
+def _two_commits(spark: SparkSession, sf_dir: str) -> versioned.VersionedTable:
+    table = versioned.VersionedTable(spark, scratch(spark), "user_id", "ts")
+    events = _t(spark, sf_dir, "events").select(*_COLUMNS)
+    table.upsert(events.where(F.col("ts") < F.lit(_CUT)), "20240115", source_version="first")
+    table.upsert(events.where((F.col("ts") >= F.lit(_CUT)) & (F.col("event_type") != "view")), "20240131", source_version="second")
+    return table
+
+
+@_query(f"SELECT *, '20240131' AS _commit_time FROM {_NEW} UNION ALL SELECT *, '20240115' FROM {_BASE} b WHERE NOT EXISTS (SELECT 1 FROM {_NEW} n WHERE n.user_id = b.user_id)")
+def versioned_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_commits(spark, sf_dir).snapshot()
+
+
+@_query(f"SELECT *, '20240115' AS _commit_time FROM {_BASE}")
+def versioned_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_commits(spark, sf_dir).snapshot("20240120")
+
+
+@_query(
+    f"WITH b AS (SELECT user_id FROM {_BASE}), n AS (SELECT user_id FROM {_NEW}), u AS (SELECT count(*) AS k FROM n WHERE user_id IN (SELECT user_id FROM b)) "
+    "SELECT '20240115' AS commit_time, 'upsert' AS operation, CAST((SELECT count(*) FROM b) AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS updated, CAST((SELECT count(*) FROM b) AS BIGINT) AS row_count, 'first' AS source_version "
+    "UNION ALL SELECT '20240131', 'upsert', (SELECT count(*) FROM n) - k, k, (SELECT count(*) FROM b) + (SELECT count(*) FROM n) - k, 'second' FROM u"
+)
+def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_commits(spark, sf_dir).log().drop("content_hash")
+
+
+_RUN = dt.datetime(2025, 3, 1, tzinfo=dt.timezone.utc)
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    """A catalogue of one batch for each supplier, of the nation as source: all validated, those in debt failed, then known ids again."""
+    c = catalog.Catalog(spark, scratch(spark), _RUN)
+    suppliers = _t(spark, sf_dir, "supplier")
+    source = F.concat(F.lit("n"), "s_nationkey")
+    rows = suppliers.select(F.col("s_name").alias("batch_id"), source.alias("source_name"), F.lit("p").alias("raw_file_path"), F.sha2("s_name", 256).alias("raw_sha256"))
+    c.create_batches(rows)
+    ids = suppliers.select(F.col("s_name").alias("batch_id"), F.col("s_suppkey").alias("total_rows"))
+    c.set_status(ids, catalog.VALIDATED, total_rows=F.col("total_rows"))
+    bad = suppliers.where("s_acctbal < 1000").select(F.col("s_name").alias("batch_id"))
+    c.set_status(bad, catalog.FAILED_SCRUB, error_details=F.lit("low"))
+    c.record_rules(bad.withColumn("rule_id", F.lit("PHI_SSN")))
+    c.record_steps(ids.select("batch_id").withColumns({"step_name": F.lit("INGEST"), "details_json": F.lit("{}")}))
+    c.create_batches(rows)
+    return c
+
+
+_STATE = (
+    "SELECT s_name AS batch_id, 'n' || s_nationkey AS source_name, sha256(s_name) AS raw_sha256, CASE WHEN s_acctbal < 1000 THEN 'FAILED_SCRUB' ELSE 'VALIDATED' END AS status, "
+    "CAST(s_suppkey AS BIGINT) AS total_rows, CASE WHEN s_acctbal < 1000 THEN 'low' ELSE '' END AS details FROM supplier"
+)
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    return rows.select("batch_id", "source_name", "raw_sha256", "status", "total_rows", F.coalesce("error_details", F.lit("")).alias("details"))
+
+
+@_query(_STATE)
+def catalogue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(_filled(spark, sf_dir).batches())
+
+
+@_query(f"SELECT * FROM ({_STATE}) WHERE status = 'VALIDATED' AND source_name = 'n3'")
+def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(_filled(spark, sf_dir).search_batches("VALIDATED", "n3"))
+
+
+@_query(f"SELECT * FROM ({_STATE}) WHERE status LIKE 'FAILED%'")
+def catalogue_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(_filled(spark, sf_dir).failed_batches())
+
+
+@_query(f"SELECT * FROM ({_STATE}) WHERE source_name = 'n3' ORDER BY batch_id LIMIT 20")
+def catalogue_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(_filled(spark, sf_dir).latest_batches("n3"))
+
+
+@_query("SELECT s_name AS batch_id, 'PHI_SSN' AS rule_id, 'applied, rule set v1' AS description FROM supplier WHERE s_acctbal < 1000")
+def catalogue_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).table("rules_applied").select("batch_id", "rule_id", "description")
+
+
+@_query("SELECT 'steps' AS name, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'rules_applied', 0 UNION ALL SELECT 'control_detail', 0")
+def catalogue_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _filled(spark, sf_dir).orphans()
+    return canonical.unite([rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in found.items()])
