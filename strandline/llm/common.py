@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from strandline.session import shared_dir
+
 #: The white space that separates words in every operator: space and the controls 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,15 +33,6 @@ def thinned(key: Column, want: int, total: int | Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << 30)) * (total if isinstance(total, Column) else F.lit(total)) < F.lit(2 << 30) * F.lit(want)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def settle(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: a cut lineage that survives lost executors."""
     spark = df.sparkSession
