@@ -195,11 +195,11 @@ def features(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(), *, fine: bool = False) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(), *, fine: bool = False, repeated: bool = True) -> DataFrame:
     """id, shingles and (empty unless asked for) the finer sketch of the docs (doc_id, text) named in ids (id).
 
     The texts are passed once more, without a shuffle; only the sets of named ids (and of the few others that a bitmap of
-    hashed ids lets through) are made."""
+    hashed ids lets through) are made. Where ids may be repeated, equal sets of an id become one."""
     size, bitmap = _filter_of(ids, settings)
     bit = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1)).alias("bit")
 
@@ -215,7 +215,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(
             columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat)), _long_lists(sketch)]
             yield pa.RecordBatch.from_arrays(columns, names=SETS.names)
 
-    return hold(docs.select("doc_id", "text", bit).mapInArrow(run, SETS))
+    sets = docs.select("doc_id", "text", bit).mapInArrow(run, SETS)
+    return hold(sets.dropDuplicates(["id", "shingles"]) if repeated else sets)
 
 
 def _near(words: int, most: int, a: str = "sa", b: str = "sb") -> Column:
@@ -288,8 +289,9 @@ def _crowd(classes: DataFrame) -> DataFrame:
     return rows.select("key", "place", "id").join(rows.groupBy("id").agg(F.sum("n").alias("fame")), "id")
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """id and component of the classes (id, n_shingles, bands, sketch) that are linked to others."""
+def link_classes(classes: DataFrame, docs: DataFrame, settings: Settings, *, repeated: bool = True) -> DataFrame:
+    """id and component of the classes (id, n_shingles, bands, sketch) that are linked to others. repeated: whether docs has
+    several rows of an id."""
     crowd = settle(_crowd(classes))
     star = F.max(F.struct("fame", (-F.col("id")).alias("id")))  # the most famous, of equals the smallest id
     # First each class with one other: the most famous of all in its buckets.
@@ -297,14 +299,14 @@ def link_classes(classes: DataFrame, docs: DataFrame, settings: Settings) -> Dat
     stars = crowd.join(centres, "key").groupBy(F.col("id").alias("b")).agg((-F.max("m")["id"]).alias("a"))
     pairs = settle(_sketched(stars.where("a <> b"), classes, settings))
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = settle(confirm(pairs, shingle_sets(docs, named, settings), settings))
+    links = settle(confirm(pairs, shingle_sets(docs, named, settings, repeated=repeated), settings))
     found = components(links)
 
     # Then what buckets of several components hold, under finer sketches: first with the most famous of each bucket.
     labelled = crowd.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     split = labelled.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y"), star.alias("m")).where("_x <> _y")
     rest = settle(labelled.join(split.select("key", "m"), "key"))
-    sets = shingle_sets(docs, rest.select("id").distinct(), settings, fine=True)
+    sets = shingle_sets(docs, rest.select("id").distinct(), settings, fine=True, repeated=repeated)
     finer = classes.select("id", "n_shingles", "bands").join(sets.select("id", F.col("fine").alias("sketch")), "id")
     side = lambda n: finer.select(F.col("id").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
     near = _like_sizes(settings) & _near(settings.fine_words, settings.fine_bits)
@@ -338,7 +340,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         full.groupBy(*prints)
         .agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("_last"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     )
-    linked = link_classes(classes.where("id IS NOT NULL").select("id", "n_shingles", "bands", "sketch"), docs, settings)
+    repeated = not full.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
+    known = classes.where("id IS NOT NULL").select("id", "n_shingles", "bands", "sketch")
+    linked = link_classes(known, docs, settings, repeated=repeated)
     named = classes.select(*prints, "id").join(linked, "id", "left").select(*prints, F.coalesce("component", "id").alias("component_id"))
     out = found.select("doc_id", *prints).join(named, prints, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
