@@ -5,8 +5,8 @@ node is a conjunctive rule; a lasso logistic regression weighs the rules, and th
 into one Spark column expression. Scoring is thus a projection: no Python, no shuffle.
 
 Defined results. A null text counts as an empty one; its statistics are 0 and it has a score like any other text. Very
-long texts are read whole. Labels that are null are not learned from, and a repeated label row counts once for each
-repeat. Without labelled rows of both classes the score is the share of ones among them, 0.5 if there is none.
+long texts are read whole. Labels that are null are not learned from; repeated rows of labels, or of one document,
+count once. Without labelled rows of both classes the score is the share of ones among them, 0.5 if there is none.
 """
 
 from __future__ import annotations
@@ -187,12 +187,14 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     picked = (
         known.where(thinned(F.col("doc_id"), settings.sample_rows, known.count()))
         .select("doc_id", F.col("quality").cast("int").alias("_y"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_y")
         .limit(settings.sample_rows)
     )
     # sample_rows pairs of two numbers at most, whatever the size of the tables
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = rows.select("doc_id", "_y", statistics(F.col("text")).alias("_s")).select("doc_id", "_y", "_s.*").toPandas()
+    stats = rows.select("doc_id", "_y", statistics(F.col("text")).alias("_s")).groupBy("doc_id", "_y").agg(F.min("_s").alias("_s"))
+    found = stats.select("doc_id", "_y", "_s.*").toPandas()  # sample_rows at most
     found = found.sort_values(["doc_id", "_y", *STATISTICS]).reset_index(drop=True)
     return fit(list(STATISTICS), found[list(STATISTICS)].to_numpy(float), found["_y"].to_numpy(float), settings)
 
