@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,12 @@ NA_TOKENS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once. Inside a lambda, and in branches that may not be taken, Spark computes an
+    expression again wherever it stands."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 

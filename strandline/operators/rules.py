@@ -6,12 +6,14 @@ and keeps the output of the last rule that matched, as per-cell processing with
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.text import let
+
 CHAIN, LAST_MATCH = "chain", "last_match"
 
 
@@ -116,6 +118,23 @@ class RuleSet:
                 at = self._replaced(at, rule, pattern)
         return F.filter(F.array(*found), lambda x: x.isNotNull())
 
+    def redact(self, c: Column) -> Column:
+        """A struct of the redacted text and its hits, every rule tested once: for use inside lambdas, where nothing is shared
+        between apply and hits."""
+        state = F.struct(c.alias("text"), F.array().cast("array<string>").alias("hits"), c.alias("given"))
+        for rule, pattern in self.rules:
+            state = let(state, self._step(rule, pattern))
+        return state
+
+    def _step(self, rule: Rule, pattern: str) -> Callable[[Column], Column]:
+        def step(s: Column) -> Column:
+            source = s["text"] if self.mode == CHAIN else s["given"]
+            new = F.regexp_replace(source, F.lit(pattern), F.lit(_token(rule)))
+            hit = F.struct(new.alias("text"), F.concat(s["hits"], F.array(F.lit(rule.rule_id))).alias("hits"), s["given"].alias("given"))
+            return F.when(F.coalesce(self._matches(source, rule, pattern), F.lit(False)), hit).otherwise(s)
+
+        return step
+
     def flag(self, c: Column) -> Column:
         """Whether any rule matches."""
         return F.size(self.hits(c)) > 0

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import blank, fields, lines, with_replaced
+from strandline.functions.text import blank, fields, let, lines, with_replaced
 from strandline.operators.metadata import Declared, position
 from strandline.operators.rules import RuleSet
 from strandline.operators.validate import json_kind
@@ -68,29 +68,32 @@ def scrub_objects(rows: DataFrame, columns: Sequence[Declared], rules: RuleSet)
     Declared PHI keys that are present hold their token whatever their value; string values of all other keys, declared
     or not, pass the rules; other values stay. Lines that are no object stay as they are."""
     phi = {c.column_name: object_token(c) for c in columns if c.is_phi}
-    text = lambda v: F.when(json_kind(v) == "string", F.try_variant_get(v, "$", "string"))
+    none = F.array().cast("array<string>")
 
-    def value(k: Column, v: Column) -> Column:
+    def entry(e: Column) -> Column:
+        k, v = e["key"], e["value"]
         token = F.lit(None).cast("string")
         for name, t in phi.items():
             token = F.when(k == name, t).otherwise(token)
-        new = F.coalesce(token, rules.apply(text(v)))
-        return F.when(new.isNotNull(), F.to_variant_object(F.array(new))).otherwise(F.to_variant_object(F.array(v)))
-
-    def hit(k: Column, v: Column) -> Column:
-        found = F.coalesce(rules.hits(text(v)), F.array().cast("array<string>"))
-        for name, t in phi.items():
-            found = F.when(k == name, F.array(F.lit(COLUMN_RULES[t]))).otherwise(found)
-        return found
-
-    parsed = rows.withColumn("m", F.from_json("line", "map<string,variant>"))
-    # Values become one-element arrays of variants, which take any of them; the element is taken out again.
-    made = F.transform_values("m", lambda k, v: F.variant_get(value(k, v), "$[0]", "variant"))
-    hits = F.flatten(F.transform(F.map_entries("m"), lambda e: hit(e["key"], e["value"])))
+        text = F.when(json_kind(v) == "string", F.try_variant_get(v, "$", "string"))
+        return let(F.struct(token.alias("token"), rules.redact(text).alias("r")), lambda x: redacted(k, v, x["token"], x["r"]))
+
+    def redacted(k: Column, v: Column, token: Column, r: Column) -> Column:
+        hits = F.lit(None).cast("array<string>")
+        for t, rule in COLUMN_RULES.items():
+            hits = F.when(token == t, F.array(F.lit(rule))).otherwise(hits)
+        new = F.coalesce(token, r["text"])
+        # Both kinds of value become one-element arrays as variants, the element is then taken out again.
+        value = F.when(new.isNotNull(), F.to_variant_object(F.array(new))).otherwise(F.to_variant_object(F.array(v)))
+        return F.struct(k.alias("key"), F.variant_get(value, "$[0]", "variant").alias("value"), F.coalesce(hits, r["hits"], none).alias("hits"))
+
+    kept = [c for c in rows.columns if c != "line"]
+    parsed = rows.withColumn("_e", F.transform(F.map_entries(F.from_json("line", "map<string,variant>")), entry))
+    made = F.map_from_entries(F.transform("_e", lambda x: F.struct(x["key"], x["value"])))
     return parsed.select(
-        *[c for c in rows.columns if c != "line"],
+        *kept,
         F.coalesce(F.to_json(made, {"ignoreNullFields": "false"}), F.col("line")).alias("line"),
-        F.coalesce(hits, F.array().cast("array<string>")).alias("hits"),
+        F.coalesce(F.flatten(F.transform("_e", lambda x: x["hits"])), none).alias("hits"),
     )
 
 
@@ -113,33 +116,34 @@ def scrub_messages(
         if n is not None and (c.is_phi or all_fields):
             at[n] = c
 
-    def redacted(parts: Column, n: int) -> tuple[Column, Column]:
-        cell = F.get(parts, n)
+    none = F.array().cast("array<string>")
+
+    def field(cell: Column, n: int) -> Column:
+        """The field's new text and hits."""
         token = field_token(at[n])
         if token is not None:
-            return F.when(blank(cell), cell).otherwise(token), F.when(~blank(cell), F.array(F.lit(COLUMN_RULES[token])))
-        found = by_field.hits(cell)
-        matched = F.size(found) > 0
-        new = F.when(blank(cell), cell).when(matched, by_field.apply(cell)).otherwise(GENERIC)
-        hit = F.when(blank(cell), F.lit(None)).when(matched, found).otherwise(F.array(F.lit(COLUMN_RULES[GENERIC])))
-        return new, hit
+            new = F.struct(F.lit(token).alias("text"), F.array(F.lit(COLUMN_RULES[token])).alias("hits"))
+        else:
+            generic = F.struct(F.lit(GENERIC).alias("text"), F.array(F.lit(COLUMN_RULES[GENERIC])).alias("hits"))
+            plain = lambda r: F.struct(r["text"].alias("text"), r["hits"].alias("hits"))
+            new = let(by_field.redact(cell), lambda r: F.when(F.size(r["hits"]) > 0, plain(r)).otherwise(generic))
+        return F.when(blank(cell), F.struct(cell.alias("text"), none.alias("hits"))).otherwise(new)
+
+    def pid(parts: Column) -> Column:
+        cells = F.array(*[field(F.get(parts, n), n) for n in at])
+        text = lambda x: F.array_join(with_replaced(parts, {n: F.get(x, i)["text"] for i, n in enumerate(at)}), "|")
+        return let(cells, lambda x: F.struct(text(x).alias("text"), F.flatten(F.transform(x, lambda c: c["hits"])).alias("hits")))
 
     def line(x: Column) -> Column:
-        parts = fields(x)
-        pid = F.array_join(with_replaced(parts, {n: redacted(parts, n)[0] for n in at}), "|") if at else x
-        return F.when(x.startswith("PID|"), pid).otherwise(rules.apply(x))
-
-    def hit(x: Column) -> Column:
-        none = F.array().cast("array<string>")
-        parts = fields(x)
-        found = [F.coalesce(redacted(parts, n)[1], none) for n in at]
-        return F.when(x.startswith("PID|"), F.concat(*found) if found else none).otherwise(F.coalesce(rules.hits(x), none))
-
-    split = lines(F.col("message"))
-    return rows.select(
+        same = F.struct(x.alias("text"), none.alias("hits"))
+        other = let(rules.redact(x), lambda r: F.struct(r["text"].alias("text"), r["hits"].alias("hits")))
+        return F.when(x.startswith("PID|"), let(fields(x), pid) if at else same).otherwise(other)
+
+    done = rows.withColumn("_l", F.transform(lines(F.col("message")), line))
+    return done.select(
         *[c for c in rows.columns if c != "message"],
-        F.array_join(F.transform(split, line), "\n").alias("message"),
-        F.flatten(F.transform(split, hit)).alias("hits"),
+        F.array_join(F.transform("_l", lambda x: x["text"]), "\n").alias("message"),
+        F.flatten(F.transform("_l", lambda x: x["hits"])).alias("hits"),
     )
 
 

@@ -51,6 +51,14 @@ def test_last_match_is_pythons(spark):
         assert (out, hits) == ((None, []) if text is None else python_last(text)), text
 
 
+@pytest.mark.parametrize("mode", ["chain", LAST_MATCH])
+def test_redact_in_lambdas_is_apply_and_hits(spark, mode):
+    rules = RuleSet(spark, mode=mode)
+    whole = F.transform(F.array("t"), lambda x: rules.redact(x))[0]
+    got = texts(spark, SAMPLES).select("i", whole.alias("r")).orderBy("i").collect()
+    assert [(r["r"]["text"], r["r"]["hits"]) for r in got] == run(spark, rules, SAMPLES)
+
+
 def test_chain_in_id_order_lets_the_address_rule_eat_others(spark):
     assert run(spark, RuleSet(spark, by_id()), ["ssn 123-45-6789 phone 555-123-4567"])[0][0].startswith("ssn 123-45-[REDACTED_ADDRESS]")
 
