@@ -110,17 +110,11 @@ class RuleSet:
 
     def hits(self, c: Column) -> Column:
         """The ids of the rules that changed the text, in order: in a chain each is tested on the output before it."""
-        found, at = [], c
-        for rule, pattern in self.rules:
-            test = F.coalesce(self._matches(at, rule, pattern), F.lit(False))
-            found.append(F.when(test, F.lit(rule.rule_id)))
-            if self.mode == CHAIN:
-                at = self._replaced(at, rule, pattern)
-        return F.filter(F.array(*found), lambda x: x.isNotNull())
+        return self.redact(c)["hits"]
 
     def redact(self, c: Column) -> Column:
-        """A struct of the redacted text and its hits, every rule tested once: for use inside lambdas, where nothing is shared
-        between apply and hits."""
+        """A struct of the redacted text and its hits, every rule tested once, inside lambdas too. To use both fields, select the
+        struct first."""
         state = F.struct(c.alias("text"), F.array().cast("array<string>").alias("hits"), c.alias("given"))
         for rule, pattern in self.rules:
             state = let(state, self._step(rule, pattern))

@@ -47,19 +47,22 @@ def scrub_table(rows: DataFrame, columns: Sequence[Declared], rules: RuleSet, *,
     Declared PHI columns hold their token in every row, empty cells too; other declared columns pass the rules; columns
     that are not declared pass through unless scrub_extra is set."""
     by_name = {c.column_name: c for c in columns}
-    out, hits = [], []
-    for name in rows.columns:
+    staged, out, hits = [], [], []
+    for i, name in enumerate(rows.columns):
         cell, column = F.col(f"`{name}`"), by_name.get(name)
         if name in keep or (column is None and not scrub_extra):
+            staged.append(cell)
             out.append(cell)
         elif column is not None and column.is_phi:
             token = table_token(column)
             out.append(F.lit(token).alias(name))
             hits.append(F.array(F.lit(COLUMN_RULES[token])))
         else:
-            out.append(rules.apply(cell).alias(name))
-            hits.append(rules.hits(cell))
-    return rows.select(*out, (F.concat(*hits) if hits else F.array().cast("array<string>")).alias("hits"))
+            staged.append(rules.redact(cell).alias(f"_cell{i}"))
+            out.append(F.col(f"_cell{i}.text").alias(name))
+            hits.append(F.col(f"_cell{i}.hits"))
+    found = F.concat(*hits) if hits else F.array().cast("array<string>")
+    return rows.select(*staged).select(*out, found.alias("hits"))
 
 
 def scrub_objects(rows: DataFrame, columns: Sequence[Declared], rules: RuleSet) -> DataFrame:

@@ -99,8 +99,8 @@ def scrub_chain_en(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def scrub_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document, redacted, with the rules that changed it."""
-    rules = RuleSet(spark)
-    return _t(spark, sf_dir, "documents").select("doc_id", "source", rules.apply(F.col("text")).alias("redacted"), rules.hits(F.col("text")).alias("rules"))
+    found = _t(spark, sf_dir, "documents").select("doc_id", "source", RuleSet(spark).redact(F.col("text")).alias("r"))
+    return found.select("doc_id", "source", F.col("r.text").alias("redacted"), F.col("r.hits").alias("rules"))
 
 
 _LAST = "txt"
