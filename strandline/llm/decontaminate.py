@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.common import slices
+
 _DROP = string.punctuation.encode()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = Index(items, settings)
-            for batch in batches:
+            for batch in slices(batches):
                 ids, best = batch.column("doc_id").to_pylist(), {}
                 for text, k, edits, place in index.search([normalise(t) for t in batch.column("text").to_pylist()]):
                     best[text, k] = min(best.get((text, k), (edits, place)), (edits, place))
@@ -224,10 +226,12 @@ def _tester(items: list[tuple[int | None, str | None]], settings: Settings):
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(items, settings)
         for batch in batches:
-            hit = np.zeros(len(batch), bool)
-            for text, *_ in index.search([normalise(t) for t in batch.to_pylist()]):
-                hit[text] = True
-            yield pa.array(hit)
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                hit = np.zeros(len(part), bool)
+                for text, *_ in index.search([normalise(t) for t in part.to_pylist()]):
+                    hit[text] = True
+                yield pa.array(hit)
 
     return found
 

@@ -20,9 +20,10 @@ Repeated rows get equal ids; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ class Encoder:
         apart = "" if any("\n" in p for p in self.ids) else "\\n"  # a character of no piece parts words as well
         self.split = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + (f"|{apart}" if apart else ""))
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # the ids as packed numbers
         self.worst = min((model.scores[i] for i in model.plain), default=0.0) - 10.0
         #: The bytes that each id stands for.
         self.spelled = [p.encode() if i in model.plain else b"" for i, p in enumerate(model.pieces)]
@@ -122,7 +123,7 @@ class Encoder:
 
     def _encode_sorted(self, words: list[str]) -> None:
         """Adds the ids of words, given in order, to self.words."""
-        bpe = self.model.kind == "bpe"
+        bpe, pack = self.model.kind == "bpe", Struct("i").pack
         tails, pairs, scores = self.tails.get, self.pairs, self.model.scores
         last, start, score, before = [_ROOT], [0], [0.0], ""
         for word in words:
@@ -161,7 +162,8 @@ class Encoder:
                 elif not out or out[-1] != self.model.unknown:  # neighbouring unknown characters are one id
                     out.append(self.model.unknown)
                 i = start[i]
-            self.words[word] = tuple(reversed(out))
+            out.reverse()
+            self.words[word] = pack(*out) if len(out) == 1 else array("i", out).tobytes()
             before = word
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -171,7 +173,7 @@ class Encoder:
         marked = [self.mark(t) for t in texts]
         self._encode_sorted(sorted({w for words in marked for w in words if w not in self.words}))
         known = self.words.__getitem__
-        return [np.fromiter(chain.from_iterable(map(known, words)), np.int32) for words in marked]
+        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in marked]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces and bytes joined, marks as spaces, without the leading one."""
@@ -217,15 +219,13 @@ def encoder_column(settings: Settings = Settings()):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(settings)
         for batch in batches:
-            ids, good = [], []
             for texts in _chunks([t or "" for t in batch.to_pylist()], settings.batch_chars):
-                found = encoder.encode(texts)
-                good += [encoder.decode(i) == t for i, t in zip(found, texts, strict=True)]
-                ids += found
-            sizes = np.array([len(i) for i in ids], np.int64)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), flat)
-            yield pa.StructArray.from_arrays([lists, pa.array(sizes), pa.array(good, pa.bool_())], names=ENCODED.names)
+                ids = encoder.encode(texts)
+                good = [encoder.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                sizes = np.array([len(i) for i in ids], np.int64)
+                borders = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.StructArray.from_arrays([lists, pa.array(sizes), pa.array(good, pa.bool_())], names=ENCODED.names)
 
     return encode
 
