@@ -17,8 +17,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on the session hands Python workers at most so many rows at once, so that whole texts stay in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """The named columns of a table; other columns, clashing names included, are never read."""
+    """The named columns of a table; other columns, clashing names included, are never read. Batches are made small."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import hold, settle, slices
+from strandline.llm.common import hold, settle, slices, small_batches
 from strandline.llm.words import WordHasher, constants, plain, scramble
 
 _U = np.uint64
@@ -332,6 +332,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, settings: Settings, *, rep
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_shingles, component_id and kept."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = hold(features(docs, settings))
     prints = ["p0", "p1", "n_shingles"]
