@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, language_id, near_dup, quality_rules, subword
-from strandline.llm.common import fold, free_name, settle, table
+from strandline.llm.common import fold, free_name, settle, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear. Dictionaries are cut from three quarters of the documents."""
+    small_batches(spark)
     dictionaries = language_id.learn(docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
     return docs.where(language_id.predictor(dictionaries)("text")["accepted"])
 
