@@ -191,7 +191,7 @@ def health() -> Mapping[str, str]:
 ACCESS: Mapping[str, Mapping[str, str]] = {
     "raw": {"admin": "rw", "compliance": "r", "engineer": "", "scientist": "", "api_user": ""},
     "curated": {"admin": "rw", "compliance": "r", "engineer": "r", "scientist": "", "api_user": ""},
-    "qlm_ready": {"admin": "rw", "compliance": "r", "engineer": "r", "scientist": "r", "api_user": ""},
+    "ready": {"admin": "rw", "compliance": "r", "engineer": "r", "scientist": "r", "api_user": ""},
     "versioned": {"admin": "rw", "compliance": "r", "engineer": "r", "scientist": "r", "api_user": ""},
     "provenance": {"admin": "rw", "compliance": "r", "engineer": "r", "scientist": "r", "api_user": "r"},
     "audit": {"admin": "rw", "compliance": "r", "engineer": "", "scientist": "", "api_user": ""},

@@ -34,7 +34,7 @@ class Zones:
     def __post_init__(self) -> None:
         base = self.root.rstrip("/")
         self.raw, self.quarantine, self.curated = f"{base}/raw", f"{base}/quarantine", f"{base}/curated"
-        self.ready, self.versioned = f"{base}/qlm_ready", f"{base}/versioned"
+        self.ready, self.versioned = f"{base}/ready", f"{base}/versioned"
 
 
 class Pipeline:
