@@ -39,7 +39,7 @@ class Settings:
     min_shared: int = 8  # the lemma's bound is kept at least this high, by fewer edits for short items
     min_bytes: int = 24  # items shorter than this are not judged
     block_bytes: int = 8 << 20  # of items sent to the executors at once
-    chunk_bytes: int = 2 << 20  # of documents searched at once
+    chunk_bytes: int = 1 << 20  # of documents searched at once
 
 
 def normalise(text: str | None) -> bytes:

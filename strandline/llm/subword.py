@@ -226,6 +226,7 @@ def encoder_column(settings: Settings = Settings()):
                 borders = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.StructArray.from_arrays([lists, pa.array(sizes), pa.array(good, pa.bool_())], names=ENCODED.names)
+        encoder.words.clear()  # the process goes on to other work; only the tested pairs are worth their memory
 
     return encode
 
