@@ -128,6 +128,31 @@ def rules_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules_applied(docs, "text", RuleSet(spark, mode=LAST_MATCH), ["source"])
 
 
+# The same over all documents, of every language and of none. Their word borders are beyond SQL; tests hold them against
+# Python's expressions.
+
+
+@_query()
+def scrub_ssn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = RuleSet(spark, [_BY_ID["PHI_SSN"]])
+    return _t(spark, sf_dir, "documents").select("doc_id", rules.apply(F.col("text")).alias("redacted"), rules.flag(F.col("text")).alias("hit"))
+
+
+@_query()
+def scrub_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", RuleSet(spark, mode=LAST_MATCH).apply(F.col("text")).alias("redacted"))
+
+
+@_query()
+def scrub_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_counts(_t(spark, sf_dir, "documents"), "text", RuleSet(spark, mode=LAST_MATCH), ["source"])
+
+
+@_query()
+def rules_by_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_applied(_t(spark, sf_dir, "documents"), "text", RuleSet(spark, mode=LAST_MATCH), ["source"])
+
+
 _PROPS = (Declared("events", "k", "int", False),)
 
 

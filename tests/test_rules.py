@@ -96,3 +96,20 @@ def test_every_document_is_redacted_as_python_does(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in QUERIES["scrub_chain"](spark, sf_dir).collect():
         assert (r["redacted"], r["rules"]) == python_chain(docs[r["doc_id"]])
+
+
+def test_queries_without_sql_cover_documents_of_every_language(spark, tmp_path):
+    from strandline.queries import QUERIES
+
+    rows = [(i, t, lang, "web" if i % 3 else "mail") for i, (t, lang) in enumerate((t, lang) for lang in ("en", "de", "fr", None) for t in SAMPLES)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    counts, ssn = {}, by_id()[[r.rule_id for r in by_id()].index("PHI_SSN")]
+    for _, text, _, source in rows:
+        for rule in python_last(text)[1] if text else []:
+            counts[source, rule] = counts.get((source, rule), 0) + 1
+    assert {(r["source"], r["rule_id"]): r["hits"] for r in run("scrub_counts_all")} == counts
+    assert sorted((r["source"], r["rule_id"]) for r in run("rules_by_source_all")) == sorted(counts)
+    assert {r["doc_id"]: r["redacted"] for r in run("scrub_last_match")} == {i: text and python_last(text)[0] for i, text, *_ in rows}
+    want = {i: (None, 0) if text is None else re.subn(ssn.pattern, ssn.token, text, flags=re.I) for i, text, *_ in rows}
+    assert {r["doc_id"]: (r["redacted"], r["hit"]) for r in run("scrub_ssn_documents")} == {i: (t, n > 0) for i, (t, n) in want.items()}
