@@ -23,18 +23,18 @@ from strandline.llm.common import lower_ascii
 
 ALLOW, BLOCK = "allow", "block"
 
-#: The small labelled table: invented URLs, 1 for those to block.
+#: The small labelled table: invented URLs, 1 for those to block. Hosts and paths are taken from no table that is judged.
 LABELLED = (
     [(f"http://{h}/{p}", 1) for h in (
-        "spam-farm.example.org", "www.casino-bonus.example.com", "cheap-pills.example.org", "win-prizes.example.com",
+        "spam-offers.example.org", "www.casino-bonus.example.com", "cheap-pills.example.org", "win-prizes.example.com",
         "free-slots.example.org", "adult-cams.example.com", "link-farm.example.org", "spam-links.example.com",
         "best-poker-bonus.example.org", "buy-replica-watches.example.com", "payday-loans.example.org", "xxx-tube.example.com",
-    ) for p in ("en/1", "de/52", "promo/win-free-bonus", "en/730?utm_source=feed", "es/77.html", "fr/19/")]
+    ) for p in ("", "home", "promo/win-free-bonus", "index.php?id=4", "offers/today", "page/2")]
     + [(f"https://{h}/{p}", 0) for h in (
         "www.library.example.org", "news.example.com", "blog.garden.example.com", "m.weather.example.org",
-        "docs.museum.example.com", "school.example.org", "therin.example.com", "blog.tiontion.example.com",
-        "ththed.example.org", "m.ththor.example.org", "www.tionble.example.com", "city-council.example.org",
-    ) for p in ("en/1", "de/52", "articles/history-of-rivers", "en/730?utm_source=feed", "es/77.html", "fr/19/")]
+        "docs.museum.example.com", "school.example.org", "theatre.example.com", "blog.stations.example.com",
+        "health.example.org", "m.authors.example.org", "www.nature.example.com", "city-council.example.org",
+    ) for p in ("", "home", "articles/history-of-rivers", "index.php?id=4", "notes/today", "page/2")]
 )
 
 

@@ -240,3 +240,12 @@ def test_tokens_of_sections(odd, none, odd_rows):
     assert e.spans("\n\n\nx")[0].tolist() == e.model.encode_ordinary("\n\n\nx")
     assert math.isclose(sum(token_counts.attribute(np.array([0, 3, 6]), np.array([0, 2, 6]))[0]), 2)
     assert token_counts.attribute(np.array([0, 3, 6]), np.array([0, 2, 4, 6]))[1] == 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_labelled_urls_are_of_no_given_table(spark, sf_dir, sf):
+    pages = spark.read.parquet(f"{sf_dir}/../{sf}/pages.parquet").select("url").distinct().collect()
+    given = [url_filter.split_url(r["url"]) for r in pages]
+    labelled = [url_filter.split_url(u) for u, _ in url_filter.LABELLED]
+    assert not {h for h, _ in labelled} & {h for h, _ in given}
+    assert not {p for _, p in labelled if len(p) > 1} & {p for _, p in given}
