@@ -35,7 +35,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.format_conversations(rows.unionByName(own)))
+    return chat.format_digests(rows.unionByName(own))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,8 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    return token_counts.count_tokens(docs, fields=("source", "lang", "text"))
 
 
 _OP3_SQL = r"""

@@ -1,55 +1,41 @@
-"""Token counts attributed to the sections of documents.
+"""Token counts attributed to the fields and sections of documents.
 
-A document is encoded whole and once. Byte-level tokens spell the text exactly, so token spans are running sums of token
-lengths; the sections' spans are running sums too, and the two sorted lists are joined by binary search. A token that
-crosses a border belongs to the section that holds its first byte, so the sections' counts add up to the whole.
+A document is its fields, one after the other, each but the last followed by a line end. It is encoded whole and once.
+Byte-level tokens spell the text exactly, so token spans are running sums of token lengths; the spans of fields and
+sections are running sums too, and the sorted lists are joined by binary search. A token that crosses a border belongs to
+the field or section that holds its first byte, so the counts add up to the whole.
 
-Sections of a text are its paragraphs: runs of lines up to and with the next line end. Other spans can be given to
-attribute() as sorted byte borders.
+Sections are the lines of the last field, each up to and with its line end. Other spans can be given to attribute() as
+sorted byte borders.
 
-Defined results. A null text has no tokens and no sections, an empty one neither. A section that only holds the rest of
-a token counts 0. Very long texts are encoded whole. Repeated rows get equal counts; an empty table gives an empty
-result.
+Defined results. A null field is empty. Without any character in any field there are no tokens; a null or empty last
+field has no sections. A field or section that only holds the rest of a token counts 0. Very long texts, runs of white
+space and words of megabytes included, are encoded whole. Repeated rows get equal counts; an empty table gives an empty
+result; columns that are not named as fields play no part.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed value: the public pattern that splits text before the merges of the rank file.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+from strandline.llm import byte_bpe
+from strandline.llm.common import slices
 
 
 @dataclass(frozen=True)
 class Settings:
-    ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-    pattern: str = PATTERN
+    ranks: str = byte_bpe.RANKS
+    pattern: str = byte_bpe.PATTERN
 
 
-class Encoder:
-    def __init__(self, settings: Settings = Settings()) -> None:
-        import tiktoken
-
-        with open(settings.ranks, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.model = tiktoken.Encoding("ranks", pat_str=settings.pattern, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.lengths[list(ranks.values())] = [len(token) for token in ranks]
-
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids, and their borders in bytes: token i covers borders[i] to borders[i + 1]."""
-        ids = np.array(self.model.encode_ordinary(text), np.int64)
-        return ids, np.concatenate([[0], np.cumsum(self.lengths[ids])])
-
-
-def paragraphs(data: bytes) -> np.ndarray:
+def lines(data: bytes) -> np.ndarray:
     """Borders of the sections of a text: 0, the place after each line end, and the text's length."""
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
     if len(data) and (not len(ends) or ends[-1] != len(data)):
@@ -69,6 +55,7 @@ COUNTS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
+        T.StructField("field_tokens", T.ArrayType(T.LongType())),
         T.StructField("n_sections", T.LongType()),
         T.StructField("n_crossing", T.LongType()),
         T.StructField("section_tokens", T.ArrayType(T.IntegerType())),
@@ -76,21 +63,32 @@ COUNTS = T.StructType(
 )
 
 
-def count_tokens(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """For each row of docs (doc_id, text): its tokens, sections, border-crossing tokens, and tokens by section."""
+def count_record(encoder: byte_bpe.ByteBpe, fields: list[str]) -> tuple[int, list[int], int, np.ndarray]:
+    """Tokens of a record, its tokens by field, how many cross a border of a field or section, and tokens by section."""
+    whole = "\n".join(fields)
+    borders = encoder.borders(encoder.encode(whole))
+    sizes = [len(f.encode()) + 1 for f in fields]
+    sizes[-1] -= 1
+    of_fields = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    sections = lines(fields[-1].encode()) + of_fields[-2]
+    by_field, _ = attribute(borders, of_fields)
+    _, crossing = attribute(borders, np.union1d(of_fields, sections))
+    return len(borders) - 1, by_field.tolist(), crossing, attribute(borders, sections)[0]
+
+
+def count_tokens(docs: DataFrame, settings: Settings = Settings(), *, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """For each row of docs (doc_id and the fields): its tokens, tokens by field and by section, and border-crossing ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(settings)
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column("text").to_pylist():
-                ids, tokens = encoder.spans(text or "")
-                sections = paragraphs((text or "").encode())
-                counts, crossing = attribute(tokens, sections)
-                for column, value in zip(out, (len(ids), len(counts), crossing, counts), strict=True):
-                    column.append(value)
-            n_tokens, n_sections, n_crossing, counts = out
-            arrays = [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_sections, pa.int64()), pa.array(n_crossing, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.list_(pa.int32()))], names=COUNTS.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, COUNTS)
+        encoder = byte_bpe.ByteBpe(settings.ranks, settings.pattern)
+        for batch in slices(batches):
+            columns = [batch.column(i + 1).to_pylist() for i in range(len(fields))]
+            found = [count_record(encoder, [v or "" for v in row]) for row in zip(*columns, strict=True)]
+            n_tokens, by_field, crossing, sections = zip(*found, strict=True) if found else ((), (), (), ())
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sections])]).astype(np.int32)
+            flat = pa.array(np.concatenate([*sections, np.zeros(0, np.int64)]).astype(np.int32))
+            arrays = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(by_field, pa.list_(pa.int64()))]
+            arrays += [pa.array(np.diff(ends), pa.int64()), pa.array(crossing, pa.int64()), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(arrays, names=COUNTS.names)
+
+    return docs.select("doc_id", *[F.col(f).cast("string") for f in fields]).mapInArrow(run, COUNTS)

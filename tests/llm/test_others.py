@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, language_id, line_rules, quality_rules, queries, token_counts, url_filter
+from strandline.llm import byte_bpe, chat, language_id, line_rules, quality_rules, queries, token_counts, url_filter
 from tests.llm.conftest import prose
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,7 +156,33 @@ def test_conversations_read_back(spark):
         assert len(r["token_ids"]) == len(r["starts"]) == len(r["loss_mask"]) and len(text) >= len(r["formatted"])
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
     nameless = chat.digests(chat.format_conversations(df.withColumn("conv_id", F.lit(None).cast("long")).limit(3))).collect()
-    assert [(r["conv_id"], r["n_turns"]) for r in nameless] == [(None, 3)]
+    assert [(r["conv_id"], r["n_turns"]) for r in nameless] == [(None, 1)] * 3  # no conversation of all nameless rows
+    direct = sorted(chat.format_digests(df).collect())
+    assert direct == sorted(out.values()) and chat.format_digests(df.limit(0)).count() == 0
+
+
+def test_no_special_token_lies_in_a_text(spark):
+    """Only the three markers are special, whatever the texts hold; runs of white space of any length are encoded."""
+    said = [" ".join(chat.RESERVED), "".join(chat.RESERVED), " " * 2_000_000, "\n" * 1_200_000 + "x", "".join(chat.MARKERS) * 3]
+    rows = [(i, t, role, x) for i, x in enumerate(said) for t, role in enumerate(["user", "assistant"])]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
+    check_digests(rows, out)
+    for r in formatted.collect():
+        ids = np.array(r["token_ids"])
+        marks = [chat.MARKERS[i - 50256] for i in ids[ids >= 50256]]
+        assert marks == [*chat.MARKERS] * 2
+        assert not any(c in chat.escape(said[r["conv_id"]]) for c in chat.RESERVED + chat.MARKERS)
+        assert chat.read_back(r["formatted"]) == [("user", said[r["conv_id"]]), ("assistant", said[r["conv_id"]])]
+
+
+@given(st.lists(st.sampled_from(["<", "<s", ">", "\\", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/", "INST]", "<|end|>", "<|", "|>", "end", "x", "SYS>"]), max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_every_escape_is_reversible(parts):
+    text = "".join(parts)
+    escaped = chat.escape(text)
+    assert chat.unescape(escaped) == text
+    assert not any(c in escaped for c in chat.MARKERS + chat.RESERVED)
 
 
 def test_query_has_its_own_conversation(spark, sf_dir):
@@ -222,26 +250,65 @@ def test_line_rules_run_no_python(spark, sf_dir):
 # Token counts
 
 
-def test_tokens_of_sections(odd, none, odd_rows):
-    e = token_counts.Encoder()
-    out = token_counts.count_tokens(odd).collect()
+def brute_counts(encoder, fields):
+    """Each token by its bytes, held against every span."""
+    whole, spans, at = "\n".join(fields).encode(), [], 0
+    for i, f in enumerate(fields):
+        size = len(f.encode()) + (i + 1 < len(fields))
+        spans.append((at, at + size))
+        at += size
+    at, rows = spans[-1][0], []
+    for line in re.findall(rb"[^\n]*\n|[^\n]+", fields[-1].encode()):
+        rows.append((at, at + len(line)))
+        at += len(line)
+    tokens, at = [], 0
+    for i in encoder.encode_ordinary(whole.decode()):
+        size = len(encoder.decode_single_token_bytes(i))
+        tokens.append((at, at + size))
+        at += size
+    borders = {b for span in spans + rows for b in span}
+    count = lambda span: sum(span[0] <= s < span[1] for s, _ in tokens)
+    return len(tokens), [count(x) for x in spans], len(rows), sum(any(s < b < e for b in borders) for s, e in tokens), [count(x) for x in rows]
+
+
+TOKEN_TEXTS = ["a b\nc d\n\n\ne", "x\n", "\n", "", "é\n漢\U0001f600 y\n\n  z", " \n \n", None, "one  two\r\n\r\nthree"]
+
+
+@pytest.mark.parametrize("fields", [("text",), ("source", "lang", "text")])
+def test_tokens_of_fields_and_sections(spark, sf_dir, odd, none, odd_rows, fields):
+    e = byte_bpe.ByteBpe()
+    rows = [(i, t, s, lang, "clash") for i, (t, s, lang) in enumerate(zip(TOKEN_TEXTS, ["src", None, "", "s\n\nt"] * 2, ["en", "", None, " "] * 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_tokens string")
+    docs = docs.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 900").selectExpr("doc_id + 100 AS doc_id", "text", "source", "lang", "'' AS n_tokens"))
+    want = {r["doc_id"]: brute_counts(e.model, [r[f] or "" for f in fields]) for r in docs.collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_counts.count_tokens(docs, fields=fields).collect()}
+    assert got == want and len(want) > 50
+    out = token_counts.count_tokens(odd, fields=("score", "text")).collect()
     assert len(out) == len(odd_rows)
-    assert all(sum(r["section_tokens"]) == r["n_tokens"] and len(r["section_tokens"]) == r["n_sections"] for r in out)
-    assert token_counts.count_tokens(none).count() == 0
-    for text in ["a b\nc d\n\n\ne", "x\n", "\n", "", "é\n漢\U0001f600 y\n\n  z"]:
-        ids, borders = e.spans(text)
-        data = text.encode()
-        assert b"".join(e.model.decode_single_token_bytes(int(i)) for i in ids) == data and borders[-1] == len(data)
-        sections = token_counts.paragraphs(data)
-        counts, crossing = token_counts.attribute(borders, sections)
-        spans = list(zip(borders[:-1], borders[1:]))
-        assert counts.tolist() == [sum(a <= s < z for s, _ in spans) for a, z in zip(sections[:-1], sections[1:])]
-        assert crossing == sum(any(s < b < t for b in sections) for s, t in spans)
-    assert e.spans("\n\n\nx")[0].tolist() == e.model.encode_ordinary("\n\n\nx")
+    assert all(sum(r["field_tokens"]) == r["n_tokens"] and len(r["section_tokens"]) == r["n_sections"] for r in out)
+    assert token_counts.count_tokens(none, fields=fields).count() == 0
     assert math.isclose(sum(token_counts.attribute(np.array([0, 3, 6]), np.array([0, 2, 6]))[0]), 2)
     assert token_counts.attribute(np.array([0, 3, 6]), np.array([0, 2, 4, 6]))[1] == 2
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_500_000 + "x", "y" + "\u3000" * 1_000_000, "x" * 5_000_000, "word " * 1_000_000, "a\t \n" * 700_000])
+def test_very_long_runs_are_encoded_whole(text):
+    e = byte_bpe.ByteBpe()
+    borders = e.borders(e.encode(text))
+    assert borders[-1] == len(text.encode()) == sum(e.lengths[e.encode(text)])
+    assert token_counts.count_record(e, ["", text])[0] == len(borders)  # and the line end after the empty field
+
+
+@given(st.lists(st.sampled_from(["a", "b ", " ", "   ", "\n", "\n\n\n", "\t", ".", "1", "\xa0", "\u3000", "é", "'s", "\x1c", "\x85", "\u200b", "漢", "     "]), max_size=20))
+@settings(max_examples=400, deadline=None)
+def test_cut_runs_change_no_id(parts):
+    text = "".join(parts)
+    assert byte_bpe.shared().model.encode_ordinary(text) == SHORT_RUNS.encode(text).tolist()
+
+
+SHORT_RUNS = byte_bpe.ByteBpe(long_run=3)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_labelled_urls_are_of_no_given_table(spark, sf_dir, sf):
     pages = spark.read.parquet(f"{sf_dir}/../{sf}/pages.parquet").select("url").distinct().collect()
