@@ -1,17 +1,20 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are lower-cased, stripped of ASCII punctuation, their white space made single spaces. An item of m bytes occurs in
-a document if some stretch of it is within k edits of the item. Such a stretch shares at least m + 1 - q - kq q-grams
-with the item, on diagonals that lie within k of each other; so shared q-grams are counted in bands of diagonals that
-overlap by more than k, bands below the bound are dropped, and what is left is verified by banded alignment.
+Texts are lower-cased, stripped of ASCII punctuation, their white space made single spaces; all lengths are in characters.
+An item of m characters occurs in a document if some stretch of it is within k edits of the item, k a tenth of m. Such a
+stretch shares at least m + 1 - q - kq q-grams with the item, on diagonals that lie within k of each other; so shared q-grams
+are counted in bands of diagonals that overlap by more than k, bands below the bound are dropped, and what is left is
+verified by banded alignment. q is 8, or less for items for which the bound would be none: the lemma holds for every item.
+Items too short for one edit (under ten characters) must be found as they are, between word borders.
 
 The benchmark is taken in blocks of bounded size, each sent to the executors and held against all documents in one pass
-without a shuffle; copies and hot sources need no care, as each document is judged by itself.
+without a shuffle; copies and hot sources need no care, as each document is judged by itself. The driver holds the
+benchmark's texts, so its memory bounds the benchmark, not the documents.
 
-Defined results. Null and empty documents match nothing; null or empty items, and those shorter than the shortest that
-can be judged (min_bytes), are in no document. Very long documents are searched whole, in pieces that overlap. Repeated
-items match under each of their ids; repeated documents match each by itself. Of several occurrences of an item in a
-document the one with the fewest edits is given, the first of equals.
+Defined results. Null and empty documents match nothing; items that are null, empty or all punctuation are in no
+document. Very long documents are searched whole, in pieces that overlap. Repeated items match under each of their ids;
+repeated documents match each by itself. Of several occurrences of an item in a document the one with the fewest edits is
+given, the first of equals.
 """
 
 from __future__ import annotations
@@ -30,84 +33,137 @@ from strandline.llm.common import slices
 
 _DROP = string.punctuation.encode()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_MOST = 8  # characters of the longest q-gram: a byte of each in a machine word
 
 
 @dataclass(frozen=True)
 class Settings:
-    q: int = 8  # bytes of a q-gram: one machine word
-    edit_rate: float = 0.10  # of an item's bytes
-    min_shared: int = 8  # the lemma's bound is kept at least this high, by fewer edits for short items
-    min_bytes: int = 24  # items shorter than this are not judged
+    q: int = 8  # characters of a q-gram, at most
+    edit_percent: int = 10  # of an item's characters
     block_bytes: int = 8 << 20  # of items sent to the executors at once
-    chunk_bytes: int = 1 << 20  # of documents searched at once
+    chunk_chars: int = 1 << 20  # of documents searched at once
+    held_pairs: int = 1 << 22  # of places and items counted at once
 
 
-def normalise(text: str | None) -> bytes:
-    return b" ".join((text or "").lower().encode().translate(None, _DROP).split())
+def normalise(text: str | None) -> str:
+    return b" ".join((text or "").lower().encode().translate(None, _DROP).split()).decode()
+
+
+def _codes(text: str) -> np.ndarray:
+    """The characters as numbers."""
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """At each place one byte of each of the eight characters from there on, as one number. Unlike characters may share a
+    byte: that can only add candidates, which are verified."""
+    data = np.zeros(len(codes) + _MOST, np.uint8)
+    data[: len(codes)] = codes if codes.dtype == np.uint8 else codes ^ codes >> 8 ^ codes >> 16
+    return np.ndarray((len(codes),), "<u8", data, strides=(1,))
+
+
+class Grams:
+    """The q-grams of items of one q, with the items (numbers) and the places in them."""
+
+    def __init__(self, q: int, numbers: np.ndarray, texts: list[str]) -> None:
+        self.q, self.mask = q, np.uint64((1 << 8 * q) - 1)
+        found = [_words(_codes(t))[: len(t) + 1 - q] & self.mask for t in texts]
+        codes = np.concatenate(found)
+        owner = np.repeat(numbers, [len(g) for g in found]).astype(np.int64)
+        offset = np.concatenate([np.arange(len(g)) for g in found]).astype(np.int64)
+        self.numbers = np.sort(numbers)
+        self.codes, which = np.unique(codes, return_inverse=True)
+        self.n = int(self.numbers[-1]) + 1
+        order = np.lexsort((offset, owner, which))
+        self.posted = which[order] * self.n + owner[order]  # sorted by code, then item
+        self.offset = offset[order]
+        self.bits = np.uint64(64 - min(24, max(12, len(self.codes).bit_length() + 5)))
+        self.seen = np.zeros(1 << int(64 - int(self.bits)), bool)
+        self.seen[(self.codes * _MIX) >> self.bits] = True
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words hold a known q-gram, and which."""
+        own = words if self.q == _MOST else words & self.mask
+        at = np.flatnonzero(self.seen[(own * _MIX) >> self.bits])
+        which = np.searchsorted(self.codes, own[at]).clip(max=len(self.codes) - 1)
+        good = self.codes[which] == own[at]
+        return at[good], which[good]
+
+    def hits(self, at: np.ndarray, which: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, place in the item) of all hits, for so few items at once that about so many hits are held."""
+        ends = np.searchsorted(self.posted, (which + 1) * self.n) - np.searchsorted(self.posted, which * self.n)
+        parts = max(1, min(len(self.numbers), -(-int(ends.sum()) // most)))
+        borders = [*self.numbers[:: -(-len(self.numbers) // parts)].tolist(), self.n]
+        for low, high in zip(borders[:-1], borders[1:], strict=True):
+            first = np.searchsorted(self.posted, which * self.n + low)
+            times = np.searchsorted(self.posted, which * self.n + high) - first
+            hit = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times - first, times)
+            yield np.repeat(at, times), self.posted[hit] % self.n, self.offset[hit]
 
 
 class Index:
     """Items (id, text) with their q-grams."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], settings: Settings = Settings()) -> None:
-        self.settings, q = settings, settings.q
-        plain = [(i, normalise(t)) for i, t in items]
-        self.items = [(i, t) for i, t in plain if len(t) >= settings.min_bytes]
+        self.settings = settings
+        self.items = [(i, t) for i, t in ((i, normalise(t)) for i, t in items) if t]
+        self.item_codes = [_codes(t) for _, t in self.items]
         size = np.array([len(t) for _, t in self.items], np.int64)
-        self.budget = np.minimum((size * settings.edit_rate).astype(np.int64), (size + 1 - q - settings.min_shared) // q).clip(0)
+        self.budget = size * settings.edit_percent // 100
+        q = np.clip(size // (self.budget + 1), 1, min(settings.q, _MOST))
         self.needed = size + 1 - q - self.budget * q
-        grams = [_grams(np.frombuffer(t, np.uint8)) for _, t in self.items]
-        codes = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
-        offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.argsort(codes, kind="stable")
-        self.owner, self.offset = owner[order], offset[order]
-        self.codes, self.first = np.unique(codes[order], return_index=True)
-        self.first = np.append(self.first, len(order)).astype(np.int64)
-        self.bits = np.uint64(64 - min(24, max(12, len(self.codes).bit_length() + 5)))
-        self.seen = np.zeros(1 << int(64 - int(self.bits)), bool)
-        self.seen[(self.codes * _MIX) >> self.bits] = True
+        self.grams = []
+        for value in np.unique(q).tolist():
+            numbers = np.flatnonzero(q == value)
+            self.grams.append(Grams(value, numbers, [self.items[n][1] for n in numbers]))
 
-    def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, edits, place) of each occurrence that is verified, of normalised texts."""
         if not self.items:
             return
         room = max(len(t) for _, t in self.items) * 2
         chunk, size = [], 0
         for k, text in enumerate(texts):
-            step = max(self.settings.chunk_bytes, 2 * room)
+            step = max(self.settings.chunk_chars, 2 * room)
             for at in range(0, max(len(text), 1), step):  # a very long text in pieces that overlap by the longest match
-                chunk.append((k, at, text[at : at + step + room]))
+                chunk.append((k, at, text[at : at + step + room], at + step + room >= len(text)))
                 size += len(chunk[-1][2])
-                if size >= self.settings.chunk_bytes:
+                if size >= self.settings.chunk_chars:
                     yield from self._search(chunk)
                     chunk, size = [], 0
-        yield from self._search(chunk)
-
-    def _search(self, chunk: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-        data = np.frombuffer(b"\n".join([t for _, _, t in chunk] + [b""]), np.uint8)
-        ends = np.cumsum([len(t) + 1 for _, _, t in chunk])
-        grams = _grams(data)
-        at = np.flatnonzero(self.seen[(grams * _MIX) >> self.bits])
-        if not len(at):
-            return
-        which = np.searchsorted(self.codes, grams[at]).clip(max=len(self.codes) - 1)
-        good = self.codes[which] == grams[at]
-        at, which = at[good], which[good]
-        times = self.first[which + 1] - self.first[which]
-        at = np.repeat(at, times)
-        hit = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[which], times)
-        item = self.owner[hit]
-        # An item's diagonals start at most an item's length before its document, so bands of two texts are kept apart
-        # by what is verified below, which never leaves a text.
-        diagonal = at - self.offset[hit] + len(data)
-        width = self.budget[item] + 1
-        band = diagonal // width
-        for key, count in _counts(np.concatenate([band, band - 1]), np.concatenate([item, item])):
-            band_no, i = key
-            enough = count >= self.needed[i]
-            for b, k in zip(band_no[enough].tolist(), i[enough].tolist(), strict=True):
-                yield from self._verify(chunk, ends, data, b, k)
+        if chunk:
+            yield from self._search(chunk)
+
+    def _search(self, chunk: list[tuple[int, int, str, bool]]) -> Iterator[tuple[int, int, int, int]]:
+        data = _codes("\n".join([t for _, _, t, _ in chunk] + [""]))
+        ends = np.cumsum([len(t) + 1 for _, _, t, _ in chunk])
+        words = _words(data)
+        for grams in self.grams:
+            at, which = grams.places(words)
+            if not len(at):
+                continue
+            for place, item, offset in grams.hits(at, which, self.settings.held_pairs):
+                exact = self.budget[item] == 0
+                yield from self._as_they_are(chunk, ends, place[exact], item[exact])
+                place, item, offset = place[~exact], item[~exact], offset[~exact]
+                # An item's diagonals start at most an item's length before its document, so bands of two texts are kept
+                # apart by what is verified below, which never leaves a text.
+                band = (place - offset + len(data)) // (self.budget[item] + 1)
+                both, i, count = _counts(np.concatenate([band, band - 1]), np.concatenate([item, item]))
+                enough = count >= self.needed[i]
+                for b, k in zip(both[enough].tolist(), i[enough].tolist(), strict=True):
+                    yield from self._verify(chunk, ends, data, b, k)
+
+    def _as_they_are(self, chunk, ends, place: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Items without an edit budget, between word borders: one search for each pair of text and item with a shared gram."""
+        pairs = np.unique(np.searchsorted(ends, place, "right") * len(self.items) + item)
+        for pair in pairs.tolist():
+            n, k = divmod(pair, len(self.items))
+            text, begin, found, last = chunk[n]
+            front = " " if begin == 0 else ""  # the next or the last piece holds what begins or ends at a cut
+            at = f"{front}{found}{' ' * last}".find(f" {self.items[k][1]} ")
+            if at >= 0:
+                yield text, k, 0, begin + at + 1 - len(front)
 
     def _verify(self, chunk, ends, data, band: int, k: int) -> Iterator[tuple[int, int, int, int]]:
         """Aligns item k with the documents around a band of two widths of diagonals."""
@@ -117,7 +173,7 @@ class Index:
         first = int(np.searchsorted(ends, max(low, 0), "right"))
         stop = int(np.searchsorted(ends, min(high + len(pattern) + budget, len(data) - 1), "right"))
         for n in range(first, min(stop, len(chunk) - 1) + 1):
-            text, begin, found = chunk[n][0], chunk[n][1], chunk[n][2]
+            text, begin, found, _ = chunk[n]
             start = int(ends[n]) - 1 - len(found)
             a, z = max(low - start, 0), min(high - start + len(pattern) + budget, len(found))
             if z - a < len(pattern) - budget:
@@ -126,39 +182,32 @@ class Index:
             if place >= 0:
                 yield text, k, 0, begin + place
                 continue
-            edits = banded_edits(pattern, found, low - start, high - start, budget)
+            edits = banded_edits(self.item_codes[k], data[start : start + len(found)], low - start, high - start, budget)
             if edits is not None:
                 yield text, k, edits, begin + a
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as one number."""
-    n = max(len(data) - 7, 0)
-    return np.ndarray((n,), "<u8", np.ascontiguousarray(data).data, strides=(1,)) if n else np.zeros(0, np.uint64)
-
-
-def _counts(band: np.ndarray, item: np.ndarray) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]:
-    """How often each (band, item) occurs."""
+def _counts(band: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (band, item), and how often each occurs."""
     low = band.min() if len(band) else 0
     key, count = np.unique((item << np.int64(36)) | (band - low), return_counts=True)
-    yield ((key & ((1 << 36) - 1)) + low, key >> 36), count
+    return (key & ((1 << 36) - 1)) + low, key >> 36, count
 
 
-def banded_edits(pattern: bytes, text: bytes, low: int, high: int, budget: int) -> int | None:
+def banded_edits(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> int | None:
     """The fewest edits that turn the pattern into a stretch of text, over alignments whose cells (i of the pattern, j of
     the text) keep low - budget <= j - i <= high + budget; None if they are over the budget."""
     low, high = low - budget, high + budget
     width = high - low + 1
     lanes = np.arange(width, dtype=np.int32)
-    codes = np.frombuffer(text, np.uint8)
-    padded = np.zeros(len(pattern) + width + 2, np.int16) - 1  # text[j] for j from low on, -1 outside it
+    padded = np.zeros(len(pattern) + width + 2, np.int32) - 1  # text[j] for j from low on, -1 outside it
     a, z = max(low, 0), min(low + len(padded), len(text))
     if z > a:
-        padded[a - low : z - low] = codes[a:z]
+        padded[a - low : z - low] = text[a:z]
     far = np.int32(len(pattern) + len(text) + 1)
     cost = np.where((lanes + low >= 0) & (lanes + low <= len(text)), np.int32(0), far)
     drop = np.full(width, far, np.int32)
-    for i, c in enumerate(pattern, 1):
+    for i, c in enumerate(pattern.tolist(), 1):
         drop[:-1] = cost[1:]  # from (i - 1, j), one diagonal up
         best = cost + (padded[i - 1 : i - 1 + width] != c)  # from (i - 1, j - 1), the same diagonal
         np.minimum(best, drop + 1, out=best)
