@@ -8,7 +8,8 @@ the dictionary counts throughout a long text, not only at its start.
 Defined results. A null text, or one without a letter, is "und" with score 0 and is not accepted. Equal sizes go to the
 language more frequent in training (then by name), with a score of at most a half and no acceptance. Very long texts are read whole.
 Repeated rows get equal results; an empty table gives an empty result. Training rows with null language or text are not
-learned from; with no training rows at all every text is "und".
+learned from; with no training rows at all every text is "und". Every label is learned, however rare: where there are many,
+their dictionaries get smaller, so that a worker's memory stays bounded (half a megabyte or so for each label).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 import zstandard
@@ -42,7 +44,8 @@ PREDICTION = T.StructType(
 class Settings:
     dictionary_bytes: int = 112 * 1024  # of each language's dictionary
     sample_docs: int = 400  # labelled texts read for each language: the bound of the training sample
-    sample_languages: int = 256  # languages kept at most, the most frequent first
+    sample_bytes: int = 4 << 20  # of them used for each language: those of the first texts that reach it
+    all_dictionaries: int = 16 << 20  # bytes of all dictionaries; with many languages each gets an equal share
     piece_chars: int = 4096  # compressed at once
     level: int = 6
     min_match: int = 3  # words are short, and so are the matches that tell languages apart
@@ -57,32 +60,39 @@ def letters(text: str | None) -> str:
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """Dictionaries from rows (doc_id, text, lang), the most frequent language first: from a bounded sample of texts for
     each language, the same for the same rows."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.sample_languages).collect()
-    langs = [r["lang"] for r in counts]
-    if not langs:
+    spark = labelled.sparkSession
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one small row for each label
+    if not counts:
         return {}
-    total = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["count"])]), F.col("lang"))
+    share = min(settings.dictionary_bytes, settings.all_dictionaries // len(counts))
+    totals = F.broadcast(spark.createDataFrame([(r["lang"], r["count"]) for r in counts], "lang string, _total long"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     picked = (
-        known.where(F.col("lang").isin(langs) & thinned(F.col("doc_id"), settings.sample_docs, total))
+        known.join(totals, "lang")
+        .where(thinned(F.col("doc_id"), settings.sample_docs, F.col("_total")))
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= settings.sample_docs)
         .select("lang", "_rank", "text")
+        .orderBy("lang", "_rank")
     )
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for row in picked.toLocalIterator():
-        texts.setdefault(row["lang"], []).append((row["_rank"], letters(row["text"])))
-    dictionaries = {lang: _fill([t for _, t in sorted(texts.get(lang, []))], settings) for lang in langs}
-    return {lang: data for lang, data in dictionaries.items() if data}
-
-
-def _fill(texts: list[str], settings: Settings) -> bytes:
+    found: dict[str, bytes] = {}
+    for lang, rows in groupby(picked.toLocalIterator(), key=lambda r: r["lang"]):  # one language at a time
+        texts, size = [], 0
+        for row in rows:
+            if size < settings.sample_bytes:
+                texts.append(letters(row["text"]))
+                size += len(texts[-1])
+        found[lang] = _fill(texts, share)
+    return {r["lang"]: found[r["lang"]] for r in counts if found.get(r["lang"])}
+
+
+def _fill(texts: list[str], size: int) -> bytes:
     """Words of the texts, in shuffled order: what matches is then words and parts of words, never a whole passage
     that happens to be quoted in a text of another language."""
     words = sorted(w for t in texts for w in t.split())
     random.Random(0).shuffle(words)
-    return " ".join(words).encode()[: settings.dictionary_bytes]
+    return " ".join(words).encode()[:size]
 
 
 class Classifier:

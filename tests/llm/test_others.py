@@ -55,6 +55,56 @@ def test_language_odd_rows_and_empty_tables(spark, odd, none):
     assert same.predict("the cat")[0] == "x" and not same.predict("the cat")[3]
 
 
+def test_every_language_is_learned(spark):
+    """Three hundred labels, the rarest included; dictionaries share a bound."""
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("omu", "tel", "ras", "kin", "dov", "lu"))
+    rows = [(1000 * i + j, own(i) + " ", f"l{i:03}") for i in range(300) for j in range(3 if i % 2 else 1)]
+    settings = language_id.Settings(all_dictionaries=300 * 60)
+    dictionaries = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), settings)
+    assert set(dictionaries) == {f"l{i:03}" for i in range(300)} and max(map(len, dictionaries.values())) <= 60
+    c = language_id.Classifier(dictionaries)
+    assert np.mean([c.predict(own(i))[0] == f"l{i:03}" for i in range(0, 300, 7)]) > 0.95
+
+
+def plain_letters(text):
+    out, gap = [], False
+    for ch in (text or "").lower():
+        if ch.isalnum() and not ch.isdecimal() and not re.match(r"\d", ch):
+            if gap and out:
+                out.append(" ")
+            out.append(ch)
+            gap = False
+        else:
+            gap = True
+    return "".join(out)
+
+
+def test_predictions_are_plain_compression(spark, sf_dir):
+    """Every prediction of the query against the library's compressor called piece by piece, without the classifier."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    dictionaries = language_id.learn(docs.where(queries.fold(F.col("doc_id"), 4) != 2))
+    s = language_id.Settings()
+
+    def size(piece, data):
+        how = language_id.zstandard.ZstdCompressionParameters.from_level(s.level, dict_size=len(data), source_size=s.piece_chars, min_match=s.min_match)
+        d = language_id.zstandard.ZstdCompressionDict(data, dict_type=language_id.zstandard.DICT_TYPE_RAWCONTENT)
+        frame = language_id.zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(piece.encode())
+        return len(frame)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op6_language_id(spark, sf_dir).collect():
+        plain = plain_letters(texts[r["doc_id"]])
+        if not plain:
+            assert r["lang_pred"] == "und"
+            continue
+        if len(plain) > 12_000:
+            continue  # slow without prepared dictionaries
+        pieces = [plain[i : i + s.piece_chars] for i in range(0, len(plain), s.piece_chars)]
+        sizes = {lang: sum(size(p, d) for p in pieces) for lang, d in dictionaries.items()}
+        best = min(sizes.values())
+        assert r["lang_pred"] in [lang for lang, n in sizes.items() if n - best <= 1 * len(pieces)]
+
+
 def test_long_texts_count_whole():
     c = language_id.Classifier({"aa": b"the cat and the dog ran over a hill " * 50, "bb": b"der hund und die katze lief um den berg " * 50})
     assert c.predict("the cat and the dog " * 10 + "der hund und die katze lief " * 2000)[0] == "bb"
