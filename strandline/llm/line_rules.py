@@ -17,11 +17,30 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACE, free_name
 
-#: Phrases of page furniture, lower case.
-BOILERPLATE = (
-    "all rights reserved", "cookie policy", "enable javascript", "privacy policy", "terms of service", "terms of use",
-    "click here", "read more", "sign in", "log in", "subscribe to", "share this", "skip to content", "lorem ipsum",
-)
+#: Phrases of page furniture by language, lower case.
+BOILERPLATE = {
+    "en": (
+        "all rights reserved", "cookie policy", "enable javascript", "privacy policy", "terms of service", "terms of use",
+        "click here", "read more", "sign in", "log in", "subscribe to", "share this", "skip to content", "lorem ipsum",
+    ),
+    "de": (
+        "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "cookies akzeptieren",
+        "javascript aktivieren", "hier klicken", "weiterlesen", "mehr erfahren", "jetzt anmelden", "newsletter abonnieren", "zum inhalt springen",
+    ),
+    "fr": (
+        "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions générales", "accepter les cookies",
+        "activer javascript", "cliquez ici", "lire la suite", "en savoir plus", "se connecter", "abonnez-vous", "aller au contenu",
+    ),
+    "es": (
+        "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "aceptar cookies",
+        "activar javascript", "haga clic aquí", "leer más", "saber más", "iniciar sesión", "suscríbete a", "saltar al contenido",
+    ),
+}
+#: A phrase between characters that are neither letters nor digits, in a lower-cased line.
+PHRASE = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(p for phrases in BOILERPLATE.values() for p in phrases) + r")(?:$|[^\p{L}\p{N}])"
+#: A line that ends a sentence: a final mark, with closing quotes and brackets after it.
+ENDED = r"[.!?…。！？।۔؟:;][\"'”’»›)\]\x20\x09-\x0D]*$"
+TEASER = r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"
 SYMBOLS = "#*$%&|<>"
 
 
@@ -35,6 +54,8 @@ class LineRules:
     menu_share: int = 25  # of a line's words that are bare separators, if there are at least menu_words of them
     menu_words: int = 3
     boilerplate_words: int = 12  # boilerplate phrases condemn lines of at most so many words
+    open_words: int = 5  # lines under so many words must end a sentence
+    teaser_words: int = 25  # lines of at most so many words must not trail off in dots
     lost_share: int = 50  # a document losing more of its word characters than this is rejected
 
 
@@ -48,21 +69,21 @@ def line_fails(line: Column, rules: LineRules) -> Column:
 
 
 def _fails(x: Column, rules: LineRules) -> Column:
+    """Symbols, capitals, menus, boilerplate, fragments without an end, teasers."""
     line, dense, words = x["line"], x["dense"], x["words"]
     n = F.length(dense)
     letters = F.length(F.regexp_replace(dense, r"[^\p{L}]+", ""))
-    upper = F.length(F.regexp_replace(dense, r"[^\p{Lu}]+", ""))
+    upper = F.regexp_count(dense, F.lit(r"\p{Lu}"))
     symbols = n - F.length(F.translate(dense, SYMBOLS, ""))
     menu = F.size(F.filter(words, lambda w: w.isin("|", "»", "›", ">", "•", "·", "/")))
-    lowered = F.lower(line)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | lowered.contains(p)
-    return (
+    size = F.size(words)
+    return (size > 0) & (
         (100 * symbols > rules.symbol_share * n)
-        | ((F.size(words) >= rules.upper_words) & (100 * upper > rules.upper_share * letters) & (letters > 0))
-        | ((menu >= rules.menu_words) & (100 * menu > rules.menu_share * F.size(words)))
-        | ((F.size(words) <= rules.boilerplate_words) & phrase)
+        | ((size >= rules.upper_words) & (upper > 0) & (100 * upper > rules.upper_share * letters))
+        | ((menu >= rules.menu_words) & (100 * menu > rules.menu_share * size))
+        | ((size <= rules.boilerplate_words) & F.lower(line).rlike(PHRASE))
+        | ((size < rules.open_words) & ~line.rlike(ENDED))
+        | ((size <= rules.teaser_words) & line.rlike(TEASER))
     )
 
 
@@ -74,13 +95,12 @@ def let(value: Column, body) -> Column:
 def repeat_words(words: Column, window: int = 5) -> Column:
     """How many words lie in a window of five words that occurs at least twice in the text.
 
-    Each window is hashed to a long; only texts in which a hash occurs twice go on to the scan.
-    """
+    Each window is hashed to a long of 64 bits; only texts in which a hash occurs twice go on to the scan."""
 
     def keys(hashes: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.size(hashes) - window),
-            lambda i: F.shiftright(F.xxhash64(*[F.get(hashes, i + j) for j in range(window)]), 2),
+            lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(window)]),
         )
 
     def count(found: Column) -> Column:
@@ -92,23 +112,21 @@ def repeat_words(words: Column, window: int = 5) -> Column:
 
 
 def _covered(keys: Column, window: int) -> Column:
-    """Words covered by windows whose key occurs twice. The low part of each sorted long, modulo the number of windows,
-    is the window's position, so that one sort brings equal windows together."""
-    n = F.size(keys).cast("long")
+    """Words covered by windows whose key occurs twice: one sort by key and position brings equal windows together, at any
+    number of windows."""
 
     def positions(placed: Column) -> Column:
-        def same(k: Column, j: Column) -> Column:
-            other = F.get(placed, j)
-            return F.coalesce(other - F.pmod(other, n) == k - F.pmod(k, n), F.lit(False))
+        def same(x: Column, j: Column) -> Column:
+            return F.coalesce(F.get(placed, j)["k"] == x["k"], F.lit(False))
 
-        found = F.filter(placed, lambda k, i: same(k, i - 1) | same(k, i + 1))
-        return F.sort_array(F.transform(found, lambda k: F.pmod(k, n)))
+        found = F.filter(placed, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
 
     def spans(found: Column) -> Column:
         return F.transform(found, lambda p, i: F.least(F.coalesce(F.get(found, i + 1) - p, F.lit(window)), F.lit(window)))
 
     total = lambda found: F.aggregate(spans(found), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    placed = F.sort_array(F.transform(keys, lambda k, i: k - F.pmod(k, n) + i.cast("long")))
+    placed = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
     return let(placed, lambda p: let(positions(p), total))
 
 

@@ -73,7 +73,7 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_rules.clean_lines(docs, keep=("doc_id",))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_lines", "n_lines_kept", "clean_chars",
+        "n_lines", "n_lines_kept", "clean_chars", F.sha2("clean_text", 256).alias("clean_sha256"),
     )
 
 
@@ -95,7 +95,7 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)
 """
 
-_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in line_rules.BOILERPLATE)
+_PHRASE, _ENDED = (x.replace("'", "''") for x in (line_rules.PHRASE, line_rules.ENDED))
 _R = line_rules.LineRules()
 _OP9_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -104,20 +104,22 @@ w AS (SELECT k, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]
 g AS (SELECT k, i, array_to_string(ws[i:i + 4], ' ') AS win FROM w, unnest(range(1, greatest(len(ws) - 3, 1))) AS u(i) WHERE len(ws) >= 5),
 r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM g) WHERE c > 1),
 p AS (SELECT k, count(DISTINCT i + j) AS n_rep FROM r, unnest(range(0, 5)) AS v(j) GROUP BY k),
-l AS (SELECT k, unnest(ls) AS line FROM w),
-m AS (SELECT k, line, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') AS dense,
+l AS (SELECT k, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM w),
+m AS (SELECT k, place, line, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') AS dense,
       list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw FROM l),
-q AS (SELECT k, dense, length(dense) AS n, len(lw) AS nw, length(regexp_replace(dense, '[^\p{{L}}]+', '', 'g')) AS nl,
+q AS (SELECT k, place, line, length(dense) AS n, len(lw) AS nw, length(regexp_replace(dense, '[^\p{{L}}]+', '', 'g')) AS nl,
       length(regexp_replace(dense, '[^\p{{Lu}}]+', '', 'g')) AS nu, length(dense) - length(regexp_replace(dense, '[#*$%&|<>]', '', 'g')) AS ns,
-      len(list_filter(lw, lambda x: x IN ('|', '»', '›', '>', '•', '·', '/'))) AS nm, ({_PHRASES}) AS boil FROM m),
-s AS (SELECT k, count(*) AS n_lines, count(*) FILTER (NOT bad) AS n_kept, coalesce(sum(n) FILTER (NOT bad), 0) AS chars FROM (
-      SELECT k, n, (100 * ns > {_R.symbol_share} * n) OR (nw >= {_R.upper_words} AND 100 * nu > {_R.upper_share} * nl AND nl > 0)
-        OR (nm >= {_R.menu_words} AND 100 * nm > {_R.menu_share} * nw) OR (nw <= {_R.boilerplate_words} AND boil) AS bad FROM q) GROUP BY k),
+      len(list_filter(lw, lambda x: x IN ('|', '»', '›', '>', '•', '·', '/'))) AS nm, 
+      regexp_matches(lower(line), '{_PHRASE}') AS boil, regexp_matches(line, '{_ENDED}') AS ended, regexp_matches(line, '{line_rules.TEASER}') AS teaser FROM m),
+s AS (SELECT k, count(*) AS n_lines, count(*) FILTER (NOT bad) AS n_kept, coalesce(sum(n) FILTER (NOT bad), 0) AS chars,
+      string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad) AS clean FROM (SELECT k, place, line, n, (100 * ns > {_R.symbol_share} * n) OR (nw >= {_R.upper_words} AND 100 * nu > {_R.upper_share} * nl AND nl > 0)
+        OR (nm >= {_R.menu_words} AND 100 * nm > {_R.menu_share} * nw) OR (nw <= {_R.boilerplate_words} AND boil) OR (nw < {_R.open_words} AND NOT ended)
+        OR (nw <= {_R.teaser_words} AND teaser) AS bad FROM q) GROUP BY k),
 o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
       CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words,
       CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_lines_kept,
-      CAST(coalesce(chars, 0) AS BIGINT) AS clean_chars FROM w LEFT JOIN p USING (k) LEFT JOIN s USING (k)),
+      CAST(coalesce(chars, 0) AS BIGINT) AS clean_chars, sha256(coalesce(clean, '')) AS clean_sha256 FROM w LEFT JOIN p USING (k) LEFT JOIN s USING (k)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o)
 SELECT *, NOT base_failed AND NOT (100 * (word_chars - clean_chars) > {_R.lost_share} * word_chars) AS kept FROM b
 """

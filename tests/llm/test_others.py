@@ -283,12 +283,24 @@ def test_line_counts_are_plain_counts(spark, odd, none):
     assert line_rules.clean_lines(none, keep=("doc_id",)).count() == 0
 
 
+def test_repeats_of_very_long_texts_are_exact(spark):
+    """Two million words, all windows unlike but for one planted twice; and one word of megabytes, one line of megabytes."""
+    words = [f"{i * 2654435761 % (1 << 32):x}" for i in range(1_000_000)]
+    planted = words[:500_000] + ["here", "it", "is", "once", "more"] + words[500_000:] + ["here", "it", "is", "once", "more"]
+    texts = [" ".join(planted), "x" * 5_000_000, "word " * 1_000_000, " " * 2_000_000 + "\n" * 500_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r for r in line_rules.clean_lines(df, keep=("doc_id",)).drop("clean_text").collect()}
+    assert [out[i]["n_words"] for i in range(4)] == [len(planted), 1, 1_000_000, 0]
+    assert [out[i]["n_repeat_words"] for i in range(4)] == [10, 0, 1_000_000, 0]
+    assert [out[i]["word_chars"] for i in range(4)] == [sum(map(len, planted)), 5_000_000, 4_000_000, 0]
+
+
 def test_lines_that_go(spark):
     good = "This is a sentence of nine words or so."
-    bad = ["BUY ALL OF THIS NOW!!", "### $$$ *** %%%", "Home | News | About | Contact", "All rights reserved.", "Click here to subscribe"]
-    df = spark.createDataFrame([(1, "\n".join([good, *bad, good + " Yes."])), (2, "\n".join([good, *bad * 4])), (3, "\n".join([good] * 2))], "doc_id long, text string")
+    bad = ["BUY ALL OF THIS NOW!!", "### $$$ *** %%%", "Home | News | About | Contact", "All rights reserved.", "Click here to subscribe", "About us", "Mehr erfahren: jetzt gleich!", "It went on and on until...", "Política de privacidad."]
+    df = spark.createDataFrame([(1, "\n".join([good, *bad, good + " Yes.", "Who? (He said “No.”)", "The blog into which it went."])), (2, "\n".join([good, *bad * 4])), (3, "\n".join([good] * 2))], "doc_id long, text string")
     out = {r["doc_id"]: r for r in line_rules.clean_lines(df, keep=("doc_id",)).collect()}
-    assert out[1]["clean_text"] == f"{good}\n{good} Yes." and out[1]["n_lines"] == 7
+    assert out[1]["clean_text"] == f"{good}\n{good} Yes.\nWho? (He said “No.”)\nThe blog into which it went." and out[1]["n_lines"] == 13
     assert not out[2]["kept"] and out[3]["base_failed"]
 
 
