@@ -82,6 +82,81 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, fields=("source", "lang", "text"))
 
 
+# Parts of the operators' results that SQL can express on whole tables, each got through its operator.
+
+
+def lm_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
+def subword_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of what the ids of every document decode to."""
+    encoded = op2_subword(spark, sf_dir)
+    return encoded.select("doc_id", F.sha2(subword.decoder_column()("ids"), 256).alias("decoded_sha256"), (F.col("n_ids") > 0).alias("some"))
+
+
+def leaks_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_decontaminate(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_chat(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op7_url_filter(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def token_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op10_token_counts(spark, sf_dir)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    by_text = F.element_at("field_tokens", -1)
+    sums = (total(F.col("field_tokens")) == F.col("n_tokens")) & (total(F.col("section_tokens")) == by_text)
+    return out.select("doc_id", "n_sections", sums.alias("adds_up"))
+
+
+_WORDS_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+#: crc32 of the id as text: each byte is mixed in, then shifted out in eight steps (the steps are the -1s).
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+        ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+_LM_TOKENS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_append({_WORDS_SQL}, '') AS ws, {_CRC_SQL} % 7 = 2 AS held_out FROM documents),
+t AS (SELECT k, doc_id, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w)
+SELECT doc_id, held_out, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(c) AS BIGINT) AS n_known, CAST((SELECT sum(c) FROM c) AS BIGINT) AS train_tokens
+FROM t LEFT JOIN c USING (w) GROUP BY k, doc_id, held_out
+"""
+_NORMAL_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+_LEAKS_SQL = f"""
+WITH d AS (SELECT doc_id, {_NORMAL_SQL} AS t FROM documents), b AS (SELECT item_id, {_NORMAL_SQL} AS t FROM benchmark)
+SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.t) AND b.t <> ''
+"""
+_CHAT_SQL = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss FROM r GROUP BY conv_id)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256 FROM g
+"""
+
+
+def _rule_sql(rule: url_filter.Rule) -> str:
+    return f"((host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}'))"
+
+
+_LONGEST_FIRST = sorted(URL_RULES, key=lambda r: -len(r.pattern))
+_URL_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_rule_sql(r)} THEN '{r.pattern}'" for r in _LONGEST_FIRST)} END AS rule,
+  CASE {" ".join(f"WHEN {_rule_sql(r)} THEN '{r.verdict}'" for r in _LONGEST_FIRST)} END AS rule_verdict FROM p
+"""
+_SECTIONS_SQL = r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+')) AS BIGINT) AS n_sections, true AS adds_up FROM documents"
+
 _OP3_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -135,8 +210,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_rules": op9_line_rules,
     "op10_token_counts": op10_token_counts,
+    "lm_tokens": lm_tokens,
+    "subword_decoded": subword_decoded,
+    "leaks_verbatim": leaks_verbatim,
+    "chat_turns": chat_turns,
+    "url_rules": url_rules,
+    "token_sections": token_sections,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dup": _OP3_SQL,
     "op9_line_rules": _OP9_SQL,
+    "lm_tokens": _LM_TOKENS_SQL,
+    "subword_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256, coalesce(text, '') <> '' AS some FROM documents",
+    "leaks_verbatim": _LEAKS_SQL,
+    "chat_turns": _CHAT_SQL,
+    "url_rules": _URL_SQL,
+    "token_sections": _SECTIONS_SQL,
 }

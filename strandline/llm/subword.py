@@ -67,6 +67,8 @@ class Model:
         kind = kinds.get(proto.trainer_spec.model_type)
         if kind is None:
             raise ValueError("only unigram and bpe models are supported")
+        if any(p.type == 4 for p in proto.pieces):
+            raise ValueError("models with user-defined pieces are not supported")
         of = lambda wanted: [i for i, p in enumerate(proto.pieces) if p.type == wanted]
         return cls([p.piece for p in proto.pieces], [p.score for p in proto.pieces], kind, of(6), of(2)[0], frozenset(of(1)))
 

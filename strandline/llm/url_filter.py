@@ -3,8 +3,8 @@
 The model is trained on the driver from a small labelled table of URLs; only its weight vector, of fixed size, is sent
 to the executors, and pages are judged one by one without a shuffle.
 
-Defined results. A null URL, or one without "://", has an empty host and path; no rule fits it and the model judges the
-empty URL, which has no n-grams and so the bias alone. Very long URLs are read whole. Repeated rows get equal verdicts,
+Defined results. A null URL, or one without "://", has an empty host and path; no rule fits it, there is nothing to hold
+against it, and it is allowed (p_block is then the bias alone). Very long URLs are read whole. Repeated rows get equal verdicts,
 ties between rules of equal length go to block, and an empty table gives an empty result.
 """
 
@@ -23,19 +23,41 @@ from strandline.llm.common import lower_ascii
 
 ALLOW, BLOCK = "allow", "block"
 
-#: The small labelled table: invented URLs, 1 for those to block. Hosts and paths are taken from no table that is judged.
-LABELLED = (
-    [(f"http://{h}/{p}", 1) for h in (
-        "spam-offers.example.org", "www.casino-bonus.example.com", "cheap-pills.example.org", "win-prizes.example.com",
-        "free-slots.example.org", "adult-cams.example.com", "link-farm.example.org", "spam-links.example.com",
-        "best-poker-bonus.example.org", "buy-replica-watches.example.com", "payday-loans.example.org", "xxx-tube.example.com",
-    ) for p in ("", "home", "promo/win-free-bonus", "index.php?id=4", "offers/today", "page/2")]
-    + [(f"https://{h}/{p}", 0) for h in (
-        "www.library.example.org", "news.example.com", "blog.garden.example.com", "m.weather.example.org",
-        "docs.museum.example.com", "school.example.org", "theatre.example.com", "blog.stations.example.com",
-        "health.example.org", "m.authors.example.org", "www.nature.example.com", "city-council.example.org",
-    ) for p in ("", "home", "articles/history-of-rivers", "index.php?id=4", "notes/today", "page/2")]
+#: Invented labelled names, from which the small labelled table is built. None is a host of a table that is judged.
+BLOCKED_NAMES = (
+    "casino-royal", "lucky-casino", "mega-slots", "slots-palace", "poker-bonus", "bet-online", "sportsbets", "jackpot-win", "roulette-vip",
+    "bingo-cash", "big-winner", "lottery-prizes", "pills-online", "discount-pills", "pharmacy-rx", "viagra-store", "weight-loss-pills", "cheap-meds",
+    "adult-video", "adult-chat", "xxx-tube", "porn-free", "sexy-cams", "hot-escorts", "nude-pics", "spam-mail", "link-spam", "seo-spam-blog",
+    "link-farm", "content-farm", "backlinks-farm", "ads-server", "adserver", "banner-ads", "popads", "click-track", "tracker-pixel", "tracking-ads",
+    "free-iphone", "free-gift-cards", "win-prizes", "cheap-watches", "replica-bags", "payday-loans", "fast-cash-loans", "get-rich-quick",
+    "crack-keygen", "warez-downloads", "torrent-movies", "phish-login", "account-verify-now", "malware-host",
 )
+ALLOWED_NAMES = (
+    "library", "city-library", "museum", "history-museum", "university", "open-university", "school", "primary-school", "research-institute",
+    "news", "local-news", "daily-herald", "evening-post", "radio", "weather", "weather-service", "encyclopedia", "wiki", "dictionary", "atlas",
+    "garden", "botanic-garden", "recipes", "kitchen-notes", "travel-notes", "railways", "stations", "health-service", "hospital", "clinic",
+    "theatre", "orchestra", "film-archive", "poetry", "authors", "book-reviews", "linux-docs", "developer-docs", "python-tutorials", "mathematics",
+    "physics", "astronomy", "nature", "birdwatch", "rivers", "mountain-club", "chess-club", "football-league", "city-council", "parliament",
+    "statistics-office", "public-records",
+)
+BLOCKED_PATHS = ("", "bonus/free-spins", "win-now/claim.php", "cheap/buy-online", "xxx/gallery-7", "track/click?id=44", "promo/best-odds")
+ALLOWED_PATHS = ("", "wiki/River", "articles/history-of-bridges", "docs/install/guide", "2021/05/opening-hours", "search?q=maps", "about/contact")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The small labelled table, 1 for URLs to block: each name under three hosts and paths, dealt in turn. Schemes, prefixes
+    and endings are the same for both classes, so that only names and paths tell them apart."""
+    rows = []
+    for names, paths, label in ((BLOCKED_NAMES, BLOCKED_PATHS, 1), (ALLOWED_NAMES, ALLOWED_PATHS, 0)):
+        for i, name in enumerate(names):
+            for j in range(3):
+                k = 3 * i + j
+                prefix, ending = ("", "www.", "m.", "blog.")[k % 4], ("com", "org", "net", "info", "co")[k % 5]
+                rows.append((f"{('http', 'https')[k % 2]}://{prefix}{name}.{ending}/{paths[k % len(paths)]}", label))
+    return rows
+
+
+LABELLED = labelled_urls()
 
 
 @dataclass(frozen=True)
@@ -143,5 +165,6 @@ def judge(pages: DataFrame, model: Model, rules: Sequence[Rule] = (), *, keep: t
     split = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     scored = split.withColumns({"rule": rule, "_v": verdict, "p_block": blocked("host", "path")})
-    by_model = F.when(F.col("p_block") >= 0.5, BLOCK).otherwise(ALLOW)
+    some = (F.col("host") != "") | (F.col("path") != "")
+    by_model = F.when(some & (F.col("p_block") >= 0.5), BLOCK).otherwise(ALLOW)
     return scored.withColumn("verdict", F.coalesce("_v", by_model)).drop("_v")

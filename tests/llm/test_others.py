@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -129,16 +130,47 @@ def test_hosts_paths_and_rules(spark):
     for r in out:
         url, host, path, rule, verdict = URLS[r["page_id"]]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        assert r["verdict"] == (verdict or ("block" if r["p_block"] >= 0.5 else "allow"))
+        assert r["verdict"] == (verdict or ("block" if (host or path) and r["p_block"] >= 0.5 else "allow"))
         assert (r["host"], r["path"]) == url_filter.split_url(url)
     assert url_filter.judge(pages.limit(0), url_filter.train()).count() == 0
 
 
-def test_model_learns_its_table_and_more():
+def name_of(url):
+    host = url_filter.split_url(url)[0]
+    return re.sub(r"^(www|m|blog)[.]", "", host).split(".")[0]
+
+
+def test_held_out_names_are_judged_right():
+    """Five folds by name: names of the fold are in no training URL, whatever their prefix, ending or path."""
+    right, sure = [], []
+    for fold in range(5):
+        train = [(u, y) for u, y in url_filter.LABELLED if zlib.crc32(name_of(u).encode()) % 5 != fold]
+        m = url_filter.train(train)
+        for u, y in set(url_filter.LABELLED) - set(train):
+            p = m.probability(*url_filter.split_url(u))
+            right.append((p >= 0.5) == bool(y))
+            sure.append(y * np.log(p) + (1 - y) * np.log(1 - p))
+    assert len(right) == len(url_filter.LABELLED) > 300
+    assert np.mean(right) > 0.93 and -np.mean(sure) < 0.5
     m = url_filter.train()
-    right = [(m.probability(*url_filter.split_url(u)) >= 0.5) == bool(y) for u, y in url_filter.LABELLED]
-    assert np.mean(right) > 0.98
-    assert m.probability("spam-farm.example.net", "/xx/9") > 0.5 > m.probability("www.tionle.example.com", "/en/9")
+    assert np.mean([(m.probability(*url_filter.split_url(u)) >= 0.5) == bool(y) for u, y in url_filter.LABELLED]) > 0.99
+    judge = lambda u: m.probability(*url_filter.split_url(u)) >= 0.5
+    assert not judge("https://en.wikipedia.org/wiki/River") and judge("http://adult-webcams.example.com/xxx/1")
+
+
+def test_probabilities_are_plain_regression(spark):
+    """p_block of the query's operator against a sum over n-grams in plain Python, trained weights given."""
+    m = url_filter.train()
+    urls = [u for u, *_ in URLS] + [u for u, _ in url_filter.LABELLED[:40]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.judge(pages, m).collect():
+        grams = set()
+        for mark, part in (("h", r["host"]), ("p", r["path"])):
+            data = f"^{part}$".encode() if part else b""
+            grams |= {zlib.crc32(mark.encode() + data[i : i + n]) % 65536 for n in (3, 4, 5) for i in range(len(data) - n + 1)}
+        z = m.bias + (sum(float(m.weights[g]) for g in grams) / math.sqrt(len(grams)) if grams else 0)
+        assert r["p_block"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-5)
+        assert r["verdict"] == ("block" if grams and r["p_block"] >= 0.5 else "allow")
 
 
 # Quality
@@ -167,6 +199,35 @@ def test_compiled_rules_are_the_models(spark, odd, none):
     assert quality_rules.classify(none, model).count() == 0
 
 
+def plain_statistics(text):
+    t = text or ""
+    words, lines, n = SPACE.findall(t), t.split("\n"), len(t)
+    share = lambda chars: sum(c in chars for c in t) / max(n, 1)
+    n_words = max(len(words), 1)
+    return {
+        "log_chars": math.log1p(n), "log_words": math.log1p(len(words)), "word_length": n / n_words, "symbols": share("#*$%&<>@~^=+_{}[]\\"),
+        "bars": share("|"), "exclaims": share("!?"), "stops": share(".,;:"), "digits": share("0123456789"),
+        "upper": sum(unicodedata.category(c) == "Lu" for c in t) / max(n, 1), "distinct": len(set(words)) / n_words,
+        "distinct_root": len(set(words)) / math.sqrt(n_words), "line_words": len(words) / len(lines), "same_lines": 1 - len(set(lines)) / len(lines),
+    }
+
+
+def test_statistics_and_scores_are_plain_counts(spark, sf_dir, odd):
+    """Every statistic, and from them the query's scores, in plain Python over the whole table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(queries.fold(F.col("doc_id"), 3) != 1)
+    model, names = quality_rules.learn(docs, labels), list(quality_rules.STATISTICS)
+    want = {r["doc_id"]: plain_statistics(r["text"]) for r in docs.collect()}
+    for df in (docs, odd):
+        for r in df.select("text", quality_rules.statistics(F.col("text")).alias("s")).collect():
+            assert r["s"].asDict() == pytest.approx(plain_statistics(r["text"]), rel=1e-12)
+    for r in queries.op8_quality_rules(spark, sf_dir).collect():
+        s = want[r["doc_id"]]
+        z = model.bias + sum(w for w, tests in model.rules if all((s[n] <= b) == low for n, low, b in tests))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+    assert set(names) == set(next(iter(want.values())))
+
+
 def test_quality_without_labels(odd, none):
     labels = none.select("doc_id", F.lit(1).alias("quality"))
     assert {r["score"] for r in quality_rules.classify(odd, quality_rules.learn(odd, labels)).collect()} == {0.5}
