@@ -71,11 +71,10 @@ def missing_to_null(rows: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def message_columns(rows: DataFrame, message: str = "message", *, first_blank_wins: bool = False) -> DataFrame:
-    """The columns of messages: fields of the first PID line, stripped, null beyond its end; ssn; and the OBX lines, joined by a
-    space. first_blank_wins takes PID-16 for the ssn even if it is blank."""
+    """The columns of messages: fields of the first PID line, stripped, null beyond its end; ssn; and the lines that begin with
+    OBX|, as they are, joined by a space. first_blank_wins takes PID-16 for the ssn even if it is blank."""
     split = lines(F.col(message))
-    obx = F.transform(starting(split, "OBX"), strip)
-    staged = rows.withColumns({"_pid": fields(F.get(starting(split, "PID|"), 0)), "_obx": obx})
+    staged = rows.withColumns({"_pid": fields(F.get(starting(split, "PID|"), 0)), "_obx": starting(split, "OBX|")})
     out = {f"PID-{n}": strip(F.get("_pid", F.lit(n))) for n in PID_FIELDS}
     filled = [F.nullif(out[c], F.lit("")) for c in SSN_FIELDS]
     ssn = F.coalesce(out["PID-16"], F.lit("")) if first_blank_wins else F.coalesce(*filled)

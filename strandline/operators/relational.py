@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import scratch
+
 
 def search(rows: DataFrame, filters: Mapping[str, str | None], order: Sequence[Column] = ()) -> DataFrame:
     """Rows that equal every filter given; null or empty filters do not count. All matches, in order."""
@@ -38,6 +40,18 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
+def placed(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Rows of a global order with their place, from 1. Only one small row for each sorted partition is brought together. The
+    sorted rows are written once, so that partitions are the same for rows and sizes."""
+    spark, path = ordered.sparkSession, scratch(ordered.sparkSession)
+    ordered.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}).write.parquet(path)
+    marked = spark.read.parquet(path)
+    sizes = marked.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select("_p", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return marked.join(F.broadcast(shifts), "_p").withColumn(name, F.col("_m") + F.col("_shift")).drop("_p", "_m", "_shift")
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, columns: Mapping[str, str | None]) -> DataFrame:
     """Rows with columns of a table by key: defaults where the table has no such key. Spark broadcasts the table if it is
     under its size threshold."""

@@ -41,62 +41,79 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Rules. RE2 knows ASCII word borders only, so rules that need them elsewhere are held against SQL on English rows.
+# Rules, over all documents and some literal rows. RE2 knows ASCII word borders only, so the SQL spells the borders out: what
+# stands before and after is captured and put back. A border can serve one match at a time, so each rule is applied twice.
 
 _BY_ID = {r.rule_id: r for r in RULES}
 _LITERALS = (
     (-1, "ssn 123-45-6789 here"), (-2, "id 123456789 end"), (-3, "call 555-123-4567 now"), (-4, "seen 2025-02-15 twice, 2025-03-01"),
     (-5, "on 20250215 again"), (-6, "mail a.b@x.org or c@d.net"), (-7, "at 12 Main St, 3rd floor"), (-8, "12 a.b@x.org"),
-    (-9, "ssn 123-45-6789 phone 555-123-4567"), (-10, ""), (-11, "nothing here"),
+    (-9, "ssn 123-45-6789 phone 555-123-4567"), (-10, ""), (-11, "nothing here"), (-12, "é123-45-6789 ü@ö.de"), (-13, "12 Hauptstraße,34 Ölweg 5-é"),
+    (-14, "123-45-6789 987-65-4321 111-22-3333 555-123-4567"),
 )
 _LIT = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _LITERALS) + ") AS v(id, txt)"
+_TEXTS = f"(SELECT doc_id AS id, source, text AS txt FROM documents UNION ALL SELECT id, 'literal', txt FROM {_LIT})"
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_B, _E, _D = rf"(^|[^{_W}])", rf"($|[^{_W}])", r"\p{Nd}"
+#: Each rule's pattern for RE2: the character before as the first group, those after as the last ones.
+_RE2 = {
+    "PHI_SSN": (rf"{_B}{_D}{{3}}-{_D}{{2}}-{_D}{{4}}{_E}", r"\2"),
+    "PHI_SSN_DIGITS": (rf"{_B}{_D}{{9}}{_E}", r"\2"),
+    "PHI_PHONE": (rf"{_B}{_D}{{3}}-{_D}{{3}}-{_D}{{4}}{_E}", r"\2"),
+    "PHI_EMAIL": (rf"{_B}[{_W}][{_W}.+-]*@[{_W}-]+\.[{_W}.-]*[{_W}]", ""),
+    "PHI_DATE_YYYYMMDD": (rf"{_B}{_D}{{8}}{_E}", r"\2"),
+    "PHI_DATE_ISO": (rf"{_B}{_D}{{4}}-{_D}{{2}}-{_D}{{2}}{_E}", r"\2"),
+    # The stretch ends where a word ends, or where one begins.
+    "PHI_ADDRESS_SIMPLE": (rf"{_B}{_D}+[\s\x0B\x85\p{{Z}}]+[A-Za-z0-9. -]*(?:[A-Za-z0-9]{_E}|[. -]([{_W}]))", r"\2\3"),
+}
 
 
 def _re(column: str, rule: Rule) -> str:
-    return f"regexp_replace({column}, '(?i){rule.pattern}', '{rule.token}', 'g')"
-
-
-def _chain_sql(column: str) -> str:
-    for r in specific_first():
-        column = _re(column, r)
-    return column
+    pattern, after = _RE2[rule.rule_id]
+    once = f"regexp_replace({column}, '{pattern}', '\\1{rule.token}{after}', 'g')"
+    return f"regexp_replace({once}, '{pattern}', '\\1{rule.token}{after}', 'g')"
 
 
 def _test(column: str, rule: Rule) -> str:
-    return f"regexp_matches({column}, '(?i){rule.pattern}')"
+    return f"coalesce(regexp_matches({column}, '{_RE2[rule.rule_id][0]}'), false)"
 
 
-def _literals(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(_LITERALS), "id long, txt string")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("txt"))
+    own = spark.createDataFrame([(i, "literal", t) for i, t in _LITERALS], "id long, source string, txt string")
+    return docs.unionByName(own)
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))
-    return docs.unionByName(_literals(spark))
+def _one_rule(spark: SparkSession, sf_dir: str, rule_id: str) -> DataFrame:
+    rules = RuleSet(spark, [_BY_ID[rule_id]])
+    return _texts(spark, sf_dir).select("id", rules.apply(F.col("txt")).alias("redacted"), rules.flag(F.col("txt")).alias("hit"))
 
 
-_ENGLISH = f"(SELECT doc_id AS id, text AS txt FROM documents WHERE lang = 'en' UNION ALL SELECT id, txt FROM {_LIT})"
+def _one_rule_sql(rule_id: str) -> str:
+    return f"SELECT id, {_re('txt', _BY_ID[rule_id])} AS redacted, {_test('txt', _BY_ID[rule_id])} AS hit FROM {_TEXTS}"
 
 
-@_query(f"SELECT doc_id AS id, {_re('text', _BY_ID['PHI_EMAIL'])} AS redacted, coalesce({_test('text', _BY_ID['PHI_EMAIL'])}, false) AS hit FROM documents")
+@_query(_one_rule_sql("PHI_EMAIL"))
 def scrub_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = RuleSet(spark, [_BY_ID["PHI_EMAIL"]])
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), rules.apply(F.col("text")).alias("redacted"), rules.flag(F.col("text")).alias("hit"))
+    return _one_rule(spark, sf_dir, "PHI_EMAIL")
 
 
-@_query(f"SELECT id, {_re('txt', _BY_ID['PHI_SSN'])} AS redacted, {_test('txt', _BY_ID['PHI_SSN'])} AS hit FROM {_LIT}")
+@_query(_one_rule_sql("PHI_SSN"))
 def scrub_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = RuleSet(spark, [_BY_ID["PHI_SSN"]])
-    return _literals(spark).select("id", rules.apply(F.col("txt")).alias("redacted"), rules.flag(F.col("txt")).alias("hit"))
+    return _one_rule(spark, sf_dir, "PHI_SSN")
 
 
-@_query(f"SELECT id, {_chain_sql('txt')} AS redacted, {_chain_sql('txt')} <> txt AS changed FROM {_ENGLISH}")
-def scrub_chain_en(spark: SparkSession, sf_dir: str) -> DataFrame:
-    redacted = RuleSet(spark).apply(F.col("txt"))
-    return _english(spark, sf_dir).select("id", redacted.alias("redacted"), (redacted != F.col("txt")).alias("changed"))
+def _chain_sql() -> str:
+    """One step for each rule: the text so far, and the list of the rules that changed it."""
+    steps, last = [], f"(SELECT doc_id, source, text AS t, CAST([] AS VARCHAR[]) AS h FROM documents)"
+    for k, r in enumerate(specific_first()):
+        hit = f"CASE WHEN {_test('t', r)} THEN list_append(h, '{r.rule_id}') ELSE h END"
+        steps.append(f"s{k} AS (SELECT doc_id, source, {_re('t', r)} AS t, {hit} AS h FROM {last})")
+        last = f"s{k}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, source, t AS redacted, h AS rules FROM {last}"
 
 
-@_query()
+@_query(_chain_sql())
 def scrub_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document, redacted, with the rules that changed it."""
     found = _t(spark, sf_dir, "documents").select("doc_id", "source", RuleSet(spark).redact(F.col("text")).alias("r"))
@@ -108,49 +125,22 @@ for _r in by_id():
     _LAST = f"CASE WHEN {_test('txt', _r)} THEN {_re('txt', _r)} ELSE {_LAST} END"
 
 
-@_query(f"SELECT id, {_LAST} AS redacted FROM {_ENGLISH}")
-def scrub_last_match_en(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _english(spark, sf_dir).select("id", RuleSet(spark, mode=LAST_MATCH).apply(F.col("txt")).alias("redacted"))
+@_query(f"SELECT id, {_LAST} AS redacted FROM {_TEXTS}")
+def scrub_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("id", RuleSet(spark, mode=LAST_MATCH).apply(F.col("txt")).alias("redacted"))
 
 
-_HITS = " UNION ALL ".join(f"SELECT source, '{r.rule_id}' AS rule_id FROM documents WHERE lang = 'en' AND {_test('text', r)}" for r in RULES)
+_HITS = " UNION ALL ".join(f"SELECT source, '{r.rule_id}' AS rule_id FROM {_TEXTS} WHERE {_test('txt', r)}" for r in RULES)
 
 
 @_query(f"SELECT source, rule_id, CAST(count(*) AS BIGINT) AS hits FROM ({_HITS}) GROUP BY source, rule_id")
 def scrub_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").where("lang = 'en'")
-    return match_counts(docs, "text", RuleSet(spark, mode=LAST_MATCH), ["source"])
+    return match_counts(_texts(spark, sf_dir), "txt", RuleSet(spark, mode=LAST_MATCH), ["source"])
 
 
 @_query(f"SELECT DISTINCT source, rule_id FROM ({_HITS})")
 def rules_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").where("lang = 'en'")
-    return rules_applied(docs, "text", RuleSet(spark, mode=LAST_MATCH), ["source"])
-
-
-# The same over all documents, of every language and of none. Their word borders are beyond SQL; tests hold them against
-# Python's expressions.
-
-
-@_query()
-def scrub_ssn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = RuleSet(spark, [_BY_ID["PHI_SSN"]])
-    return _t(spark, sf_dir, "documents").select("doc_id", rules.apply(F.col("text")).alias("redacted"), rules.flag(F.col("text")).alias("hit"))
-
-
-@_query()
-def scrub_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", RuleSet(spark, mode=LAST_MATCH).apply(F.col("text")).alias("redacted"))
-
-
-@_query()
-def scrub_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_counts(_t(spark, sf_dir, "documents"), "text", RuleSet(spark, mode=LAST_MATCH), ["source"])
-
-
-@_query()
-def rules_by_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules_applied(_t(spark, sf_dir, "documents"), "text", RuleSet(spark, mode=LAST_MATCH), ["source"])
+    return rules_applied(_texts(spark, sf_dir), "txt", RuleSet(spark, mode=LAST_MATCH), ["source"])
 
 
 _PROPS = (Declared("events", "k", "int", False),)
@@ -389,8 +379,9 @@ def text_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT o_orderkey, o_orderdate, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS place FROM orders WHERE o_orderstatus = 'O'")
 def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relational.queue(_t(spark, sf_dir, "orders"), "O", column="o_orderstatus", order=("o_orderdate", "o_orderkey"))
-    return relational.ranked(rows.select("o_orderkey", "o_orderdate", "o_orderstatus"), ["o_orderstatus"], [F.col("o_orderdate"), F.col("o_orderkey")], "place").drop("o_orderstatus")
+    """A global sort by range; places come from the sorted partitions' sizes, so no task holds the whole queue."""
+    rows = relational.queue(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), "O", column="o_orderstatus", order=("o_orderdate", "o_orderkey"))
+    return relational.placed(rows, "place").drop("o_orderstatus")
 
 
 @_query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority = '2-HIGH'")

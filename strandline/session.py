@@ -25,9 +25,11 @@ def session(name: str = "strandline", **extra: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode alone, where it may be unset, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
