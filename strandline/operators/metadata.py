@@ -17,6 +17,7 @@ class Declared:
     data_type: str
     is_nullable: bool = True
     is_phi: bool = False
+    phi_rule: str | None = None
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,8 @@ class Source:
     active: bool = True
 
 
-#: The seeded sources and their columns. PID positions are data; SSN lies at 16 in the feed's messages.
+#: The seeded sources and their columns, but for two: folders are relative to the landing folder, and the last
+#: column of the messages is PID-16, where the feed has the SSN (the seed says 17).
 SOURCES = (
     Source("hospital_a", "csv", "hospital_a"),
     Source("clinic_b", "jsonl", "clinic_b"),
@@ -70,6 +72,7 @@ METADATA = T.StructType(
         T.StructField("data_type", T.StringType()),
         T.StructField("is_nullable", T.BooleanType()),
         T.StructField("is_phi", T.BooleanType()),
+        T.StructField("phi_rule", T.StringType()),
     ]
 )
 
@@ -83,14 +86,14 @@ def active_sources(rows: DataFrame) -> DataFrame:
 
 
 def metadata(spark: SparkSession, columns: Sequence[Declared] = COLUMNS) -> DataFrame:
-    rows = [(i, c.source_name, c.column_name, c.data_type, c.is_nullable, c.is_phi) for i, c in enumerate(columns, 1)]
+    rows = [(i, c.source_name, c.column_name, c.data_type, c.is_nullable, c.is_phi, c.phi_rule) for i, c in enumerate(columns, 1)]
     return spark.createDataFrame(rows, METADATA)
 
 
 def declared(rows: DataFrame, source: str) -> list[Declared]:
     """A source's columns in order of id."""
     found = rows.where(F.col("source_name") == source).orderBy("id").collect()
-    return [Declared(source, r["column_name"], r["data_type"], r["is_nullable"], r["is_phi"]) for r in found]
+    return [Declared(source, r["column_name"], r["data_type"], r["is_nullable"], r["is_phi"], r["phi_rule"] if "phi_rule" in rows.columns else None) for r in found]
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -104,8 +107,11 @@ def with_source_type(batches: DataFrame, sources: DataFrame) -> DataFrame:
     return batches.join(types, "source_name", "left").withColumn("source_type", F.coalesce("source_type", F.lit("csv")))
 
 
+MESSAGE_TYPES = ("hl7", "hl7v2")
+
+
 def is_message_type(source_type: str | None) -> bool:
-    return (source_type or "").lower() in ("hl7", "hl7v2")
+    return (source_type or "").lower() in MESSAGE_TYPES
 
 
 def position(column_name: str) -> int | None:

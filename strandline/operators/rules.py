@@ -23,17 +23,19 @@ class Rule:
     pattern: str
     token: str
     needs: str = ""  # a string without which nothing matches: a cheap test before the pattern
+    description: str = ""
+    version: str = "v1"
 
 
 #: Rule set v1, single backslashes.
 RULES = (
-    Rule("PHI_SSN", r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]", "-"),
-    Rule("PHI_SSN_DIGITS", r"\b\d{9}\b", "[REDACTED_SSN]"),
-    Rule("PHI_PHONE", r"\b\d{3}-\d{3}-\d{4}\b", "[REDACTED_PHONE]", "-"),
-    Rule("PHI_EMAIL", r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[REDACTED_EMAIL]", "@"),
-    Rule("PHI_DATE_YYYYMMDD", r"\b\d{8}\b", "[REDACTED_DATE]"),
-    Rule("PHI_DATE_ISO", r"\b\d{4}-\d{2}-\d{2}\b", "[REDACTED_DATE]", "-"),
-    Rule("PHI_ADDRESS_SIMPLE", r"\b\d+\s+[A-Za-z0-9\.\- ]+\b", "[REDACTED_ADDRESS]"),
+    Rule("PHI_SSN", r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]", "-", "US SSN pattern xxx-xx-xxxx"),
+    Rule("PHI_SSN_DIGITS", r"\b\d{9}\b", "[REDACTED_SSN]", "", "9-digit SSN"),
+    Rule("PHI_PHONE", r"\b\d{3}-\d{3}-\d{4}\b", "[REDACTED_PHONE]", "-", "Phone like 555-123-4567"),
+    Rule("PHI_EMAIL", r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[REDACTED_EMAIL]", "@", "Email addresses"),
+    Rule("PHI_DATE_YYYYMMDD", r"\b\d{8}\b", "[REDACTED_DATE]", "", "Date like 20250215"),
+    Rule("PHI_DATE_ISO", r"\b\d{4}-\d{2}-\d{2}\b", "[REDACTED_DATE]", "-", "Date like 2025-02-15"),
+    Rule("PHI_ADDRESS_SIMPLE", r"\b\d+\s+[A-Za-z0-9\.\- ]+\b", "[REDACTED_ADDRESS]", "", "Simple street address (approx)"),
 )
 RULE_SET_VERSION = "v1"
 #: Most specific first, so that the address rule does not eat parts of other identifiers.
@@ -53,16 +55,23 @@ def specific_first(rules: Sequence[Rule] = RULES) -> list[Rule]:
 
 
 def load(rows: DataFrame) -> list[Rule]:
-    """Rules from rows (rule_id, pattern, replacement), by id. Rule tables are small and are read by the driver."""
+    """Rules from rows (rule_id, pattern, replacement, and description and rule_version where there are such columns), by id.
+    Rule tables are small and are read by the driver."""
     known = {r.rule_id: r for r in RULES}
     out = []
-    for row in rows.select("rule_id", "pattern", "replacement").orderBy("rule_id").collect():
-        same = known.get(row["rule_id"])
+    for row in rows.orderBy("rule_id").collect():
+        same, more = known.get(row["rule_id"]), row.asDict()
         needs = same.needs if same and same.pattern == row["pattern"] else ""
-        out.append(Rule(row["rule_id"], row["pattern"], row["replacement"], needs))
+        out.append(Rule(row["rule_id"], row["pattern"], row["replacement"], needs, more.get("description") or "", more.get("rule_version") or RULE_SET_VERSION))
     return out
 
 
+def rule_table(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Rules as rows."""
+    rows = [(r.rule_id, r.pattern, r.token, r.description, r.version) for r in rules]
+    return spark.createDataFrame(rows, "rule_id string, pattern string, replacement string, description string, rule_version string")
+
+
 def compiled(spark: SparkSession, rule: Rule) -> str:
     """The rule's pattern for the engine: ignoring case, with Unicode classes. One that the engine can't compile stands
     for its own text, case and all."""
@@ -89,6 +98,7 @@ class RuleSet:
         ordered = list(rules) if rules is not None else specific_first() if mode == CHAIN else by_id()
         self.rules = [(r, compiled(spark, r)) for r in ordered]
         self.mode = mode
+        self.version = "+".join(sorted({r.version for r in ordered})) or RULE_SET_VERSION
 
     def _matches(self, c: Column, rule: Rule, pattern: str) -> Column:
         found = c.rlike(pattern)

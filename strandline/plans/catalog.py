@@ -38,10 +38,11 @@ SCHEMAS = {
 
 
 class Catalog:
-    """now is the one time of a run; every event of the run bears it, in order of seq."""
+    """now is the one time of a run; every event of the run bears it, in order of seq. Tables are read and written under the
+    grants of role: what it lacks is a PermissionError."""
 
-    def __init__(self, spark: SparkSession, path: str, now: dt.datetime | None = None) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, now: dt.datetime | None = None, role: str = "admin") -> None:
+        self.spark, self.path, self.role = spark, path.rstrip("/"), role
         self.now = (now or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=dt.timezone.utc)
         self._seq = int(self.now.timestamp() * 1_000_000)
 
@@ -50,7 +51,12 @@ class Catalog:
     def schema(self, name: str) -> T.StructType:
         return T._parse_datatype_string(SCHEMAS[name])
 
+    def _ask(self, name: str, action: str) -> None:
+        if not may(self.role, name, action, GRANTS):
+            raise PermissionError(f"{self.role} may not {'read' if action == 'r' else 'write'} {name}")
+
     def table(self, name: str) -> DataFrame:
+        self._ask(name, "r")
         path = f"{self.path}/{name}"
         if not exists(self.spark, path):
             return self.spark.createDataFrame([], self.schema(name))
@@ -58,6 +64,7 @@ class Catalog:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Appends rows, columns that they lack as null."""
+        self._ask(name, "w")
         have = set(rows.columns)
         fields = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema(name)]
         rows.select(*fields).write.mode("append").parquet(f"{self.path}/{name}")
@@ -78,11 +85,15 @@ class Catalog:
 
     # Batches
 
-    def create_batches(self, rows: DataFrame) -> DataFrame:
+    def unknown_batches(self, rows: DataFrame) -> DataFrame:
+        """The rows (batch_id) of which no batch is registered, one of each id."""
+        return unknown_keys(rows.dropDuplicates(["batch_id"]), self.table("batch_events"), "batch_id")
+
+    def create_batches(self, rows: DataFrame, version: str = RULE_SET_VERSION) -> DataFrame:
         """Registers rows (batch_id, source_name, raw_file_path, raw_sha256) as ingested, ids already known left out;
         returns what is new."""
-        new = unknown_keys(rows.dropDuplicates(["batch_id"]), self.table("batch_events"), "batch_id")
-        self._event(new, ingest_time=F.lit(self.now), status=F.lit(INGESTED), rule_set_version=F.lit(RULE_SET_VERSION))
+        new = self.unknown_batches(rows)
+        self._event(new, ingest_time=F.lit(self.now), status=F.lit(INGESTED), rule_set_version=F.lit(version))
         return new
 
     def set_status(self, rows: DataFrame, status: str, *, error_details: Column | None = None, total_rows: Column | None = None) -> None:
@@ -118,6 +129,11 @@ class Catalog:
     def write_audit(self, actor: str, action: str, batch_id: str | None = None, details: str = "{}", severity: str = "INFO") -> None:
         self.append("audit", self._rows(seq=self.next_seq(), actor=actor, action=action, batch_id=batch_id, details=details, severity=severity, created_at=self.now))
 
+    def write_audits(self, actor: str, action: str, rows: DataFrame, severity: str = "INFO") -> None:
+        """One audit row for each of rows (batch_id, details)."""
+        fixed = {"actor": actor, "action": action, "severity": severity, "created_at": self.now}
+        self.append("audit", rows.withColumns({"seq": F.lit(self.next_seq()), **{k: F.lit(v) for k, v in fixed.items()}}))
+
     def record_version(self, source: str, version_ts: str, path: str, sha256: str, created_by: str = "strandline") -> None:
         self.append("dataset_versions", self._rows(source_name=source, version_ts=version_ts, path=path, sha256=sha256, created_by=created_by, created_at=self.now))
 
@@ -145,6 +161,13 @@ class Catalog:
         found = self.batches().where(F.col("batch_id") == batch_id)
         return found.withColumns({c: F.col(c).cast("string") for c in ("ingest_time", "created_at")})
 
+    def found(self, batch_id: str) -> dict[str, object]:
+        """The batch as a mapping, times as text; a LookupError if there is none."""
+        row = self.batch(batch_id).first()
+        if row is None:
+            raise LookupError(f"no batch {batch_id}")
+        return row.asDict()
+
     def steps_of(self, batch_id: str) -> DataFrame:
         return self.table("steps").where(F.col("batch_id") == batch_id).orderBy("step_time", "seq")
 
@@ -196,8 +219,12 @@ ACCESS: Mapping[str, Mapping[str, str]] = {
     "provenance": {"admin": "rw", "compliance": "r", "engineer": "r", "scientist": "r", "api_user": "r"},
     "audit": {"admin": "rw", "compliance": "r", "engineer": "", "scientist": "", "api_user": ""},
 }
-#: The granted access of the database roles to the provenance tables.
-GRANTS: Mapping[str, Mapping[str, str]] = {"provenance": {"admin": "rw", "etl": "rw", "analyst": "r", "audit": "r"}}
+#: The granted access of the database roles to the catalogue's tables. Batches, steps and rules are granted by name;
+#: all else is the administrator's.
+_GRANTED = {"admin": "rw", "etl": "rw", "analyst": "r", "audit": "r"}
+GRANTS: Mapping[str, Mapping[str, str]] = {
+    name: _GRANTED if name in ("batch_events", "steps", "rules_applied") else {"admin": "rw"} for name in SCHEMAS
+}
 
 
 def may(role: str, zone: str, action: str = "r", access: Mapping[str, Mapping[str, str]] = ACCESS) -> bool:
@@ -205,5 +232,7 @@ def may(role: str, zone: str, action: str = "r", access: Mapping[str, Mapping[st
 
 
 def access_rows(spark: SparkSession, access: Mapping[str, Mapping[str, str]] = ACCESS) -> DataFrame:
-    rows = [(zone, role, "r" in a, "w" in a) for zone, by in access.items() for role, a in by.items()]
+    """Every zone and role of the matrix, by what may() answers."""
+    roles = sorted({role for by in access.values() for role in by})
+    rows = [(zone, role, may(role, zone, "r", access), may(role, zone, "w", access)) for zone in access for role in roles]
     return spark.createDataFrame(rows, "zone string, role string, can_read boolean, can_write boolean")

@@ -48,7 +48,15 @@ def test_messages(spark, tmp_path):
     assert [(r["row_no"], r["message"]) for r in readers.read_messages(spark, path).orderBy("row_no").collect()] == [(1, "MSH|1\nPID|x"), (2, "MSH|2\nPID|y")]
     path = write(tmp_path / "b.hl7", "MSH|1\nPID|x\n\n\n\nMSH|2\nPID|y\n")
     want = [(r["row_no"], r["message"]) for r in readers.read_messages(spark, path).orderBy("row_no").collect()]
-    assert [(r["row_no"], r["message"]) for r in readers.read_message_stream(spark, path).orderBy("row_no").collect()] == want
+    assert want == [(1, "MSH|1\nPID|x"), (2, "MSH|2\nPID|y")]
+    ends = ["\n\n", "\r\n\r\n", "\r\r", "\n\n\n\n\n", "\r\n\n", "\n\r\n"]
+    write(tmp_path / "m" / "c.hl7", "".join(f"MSH|{i}\r\nPID|{i * 37}" + ends[i % len(ends)] for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = readers.read_messages(spark, str(tmp_path / "m")).orderBy("row_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["row_no"], r["message"]) for r in got] == [(i + 1, f"MSH|{i}\nPID|{i * 37}") for i in range(3000)]
     out = sinks.write_messages(readers.read_messages(spark, path), str(tmp_path / "out"))
     assert [r["message"] for r in readers.read_messages(spark, out).collect()] == [m for _, m in want]
 
@@ -67,8 +75,62 @@ def test_listing_hashes_and_probe(spark, tmp_path):
     import hashlib
 
     assert readers.hashes(spark, a).first()["sha256"] == hashlib.sha256(b"x,y\n1,2\n").hexdigest()
-    assert "x" in readers.read_source(spark, None, a).columns
-    assert "line" in readers.read_source(spark, None, write(tmp_path / "e.txt", "hello\n")).columns
+    assert readers.hashes(spark, a, whole_bytes=3).first()["sha256"] == hashlib.sha256(b"x,y\n1,2\n").hexdigest()
+    assert "x" in readers.read_source(spark, None, a).columns and "x" in readers.read_source(spark, "csv", a).columns
+    assert "line" in readers.read_source(spark, None, write(tmp_path / "e.txt", '\n{"x": 1}\n')).columns
+    assert "message" in readers.read_source(spark, "HL7v2", write(tmp_path / "f.txt", "MSH|a\n")).columns
+    for text in ("hello\n", "", "[1]"):
+        with pytest.raises(ValueError):
+            readers.read_source(spark, "xml", write(tmp_path / "g.txt", text))
+
+
+def test_headers_of_many_files(spark, tmp_path):
+    texts = ["a,b\n1,2\n", '"a, b","c ""d"""\n1,2\n', '\n\nx,y\n', '"two\nlines",z\n1,2\n', "a,a,\n1,2,3\n", "\ufeffid,n\n1,2\n"]
+    paths = [write(tmp_path / f"{i}.csv", t) for i, t in enumerate(texts)]
+    got = readers.csv_headers(spark, paths)
+    assert got[:4] == [["a", "b"], ["a, b", 'c "d"'], ["x", "y"], ["two\nlines", "z"]] and got[5] == ["id", "n"]
+    assert len(set(got[4])) == 3
+
+
+def test_two_contents_of_one_name(spark, tmp_path):
+    """Both pending at once: each batch has its own rows, and both go on to the end."""
+    head = "patient_id,patient_name,ssn,dob,visit_date,diagnosis,notes\n"
+    row = lambda i: f"P{i},Ann,123-45-6789,1980-01-01,2025-02-01,flu,fine\n"
+    at = tmp_path / "landing" / "hospital_a" / "same.csv"
+    p = Pipeline(spark, str(tmp_path / "lake"), now=NOW)
+    write(at, head + "".join(row(i) for i in range(3)))
+    first = p.ingest(str(tmp_path / "landing"))
+    write(at, head + "".join(row(i) for i in range(10, 15)))
+    second = p.ingest(str(tmp_path / "landing"))
+    assert len(first) == len(second) == 1 and first != second
+    assert p.validate() == {first[0]: True, second[0]: True}
+    assert sorted(p.scrub()) == sorted(first + second) and list(p.transform()) == ["hospital_a"]
+    state = {r["batch_id"]: r for r in p.catalog.batches().collect()}
+    assert (state[first[0]]["total_rows"], state[second[0]]["total_rows"]) == (3, 5)
+    ids = lambda b: {r["patient_id"] for r in spark.read.parquet(state[b]["version_path"]).collect()}
+    assert ids(first[0]) == {"P0", "P1", "P2"} and ids(second[0]) == {f"P{i}" for i in range(10, 15)}
+    assert state[first[0]]["final_sha256"] != state[second[0]]["final_sha256"] != state[second[0]]["curated_sha256"]
+
+
+def test_failed_runs_leave_an_audit_row(spark, tmp_path, monkeypatch):
+    p = Pipeline(spark, str(tmp_path / "lake"), now=NOW)
+    monkeypatch.setattr(p, "_types", lambda: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        p.validate()
+    row = p.catalog.latest_audit().first()
+    assert (row["action"], row["severity"], json.loads(row["details"])) == ("run_validate_failed", "ERROR", {"error": "ZeroDivisionError"})
+
+
+def test_roles_read_and_write_what_they_are_granted(spark, tmp_path):
+    rows = spark.createDataFrame([("b1", "s", "p", "h")], "batch_id string, source_name string, raw_file_path string, raw_sha256 string")
+    as_role = lambda role: Catalog(spark, str(tmp_path / "cat"), NOW, role)
+    as_role("etl").create_batches(rows)
+    assert as_role("analyst").found("b1")["status"] == "INGESTED" and as_role("audit").batches().count() == 1
+    for role, act in (("analyst", lambda c: c.create_batches(rows)), ("etl", lambda c: c.write_audit("a", "b")), ("analyst", lambda c: c.latest_audit()), ("nobody", lambda c: c.batches())):
+        with pytest.raises(PermissionError):
+            act(as_role(role))
+    with pytest.raises(LookupError):
+        as_role("audit").found("b2")
 
 
 def test_content_hash_ignores_order(spark):
