@@ -169,22 +169,22 @@ def redact_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Validation
 
 
+_FORMS = ("12", "-7", "1.5", "1e3", "x", "2024-02-30", "2024-02-29", "20240229", "2024-01-01T10:00:00Z", " 5 ", "")
+_FORM_SQL = "CASE event_id % 11 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_FORMS)) + " END"
+
+
 @_query(
-    "SELECT event_id, regexp_full_match(json_extract_string(props, '$.k'), '[+-]?[0-9]+') AS k_is_int, "
-    "regexp_full_match(event_type, '[+-]?[0-9]+') AS type_is_int, try_cast(value AS DOUBLE) IS NOT NULL AS value_is_float, "
-    "try_cast(strftime(ts, '%Y-%m-%d') AS DATE) IS NOT NULL AS day_is_date, false AS type_is_date, true AS type_is_string FROM events"
+    f"SELECT event_id, trim(t) = '' AND t = '' OR regexp_full_match(trim(t), '[+-]?[0-9]+') AS is_int, t = '' OR try_cast(trim(t) AS DOUBLE) IS NOT NULL AS is_float, "
+    "t = '' OR try_strptime(trim(t), '%Y%m%d') IS NOT NULL AND length(trim(t)) = 8 OR try_cast(trim(t) AS TIMESTAMP) IS NOT NULL AND contains(t, '-') AND length(t) > 3 AS is_date, true AS is_text "
+    f"FROM (SELECT event_id, {_FORM_SQL} AS t FROM events)"
 )
 def type_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, kind, day = F.get_json_object("props", "$.k"), F.col("event_type"), F.date_format("ts", "yyyy-MM-dd")
+    """Numbers, dates and texts in forms that fit some types and not others."""
+    t = F.element_at(F.array(*map(F.lit, _FORMS)), (F.col("event_id") % 11 + 1).cast("int"))
     return _t(spark, sf_dir, "events").select(
-        "event_id",
-        validate.type_ok(k, "int").alias("k_is_int"),
-        validate.type_ok(kind, "integer").alias("type_is_int"),
-        validate.type_ok(F.col("value").cast("string"), "numeric").alias("value_is_float"),
-        validate.type_ok(day, "date").alias("day_is_date"),
-        validate.type_ok(kind, "timestamp").alias("type_is_date"),
-        validate.type_ok(kind, "text").alias("type_is_string"),
-    )
+        "event_id", validate.type_ok(t, "int").alias("is_int"), validate.type_ok(t, "numeric").alias("is_float"),
+        validate.type_ok(t, "date").alias("is_date"), validate.type_ok(t, "text").alias("is_text"),
+    )
 
 
 @_query(
@@ -252,9 +252,11 @@ def header_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.select("r_regionkey").join(F.broadcast(diff))  # one row
 
 
-@_query("SELECT event_id, CAST(1 AS BIGINT) AS has_k, CAST(0 AS BIGINT) AS n_errors FROM events")
+@_query("SELECT event_id, CAST(event_id % 3 <> 0 AS BIGINT) AS has_k, CAST(event_id % 3 = 0 AS BIGINT) AS n_errors FROM events")
 def json_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "events").select(F.lit("b").alias("batch_id"), F.col("event_id").alias("row_no"), F.col("props").alias("line"))
+    """Every third line lacks the required key."""
+    line = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", '"k"', '"other"')).otherwise(F.col("props"))
+    rows = _t(spark, sf_dir, "events").select(F.lit("b").alias("batch_id"), F.col("event_id").alias("row_no"), line.alias("line"))
     bad = validate.json_errors(rows, _PROPS).groupBy("row_no").agg(F.count("*").alias("n"))
     has = F.map_contains_key(F.from_json("line", "map<string,string>"), F.lit("k")).cast("long")
     out = rows.join(bad, "row_no", "left")
@@ -407,9 +409,10 @@ def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.lookup(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), nations, "c_nationkey", {"n_name": "csv"}).drop("c_nationkey")
 
 
-@_query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 100000)")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.unknown_keys(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    known = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_totalprice > 100000")
+    return relational.unknown_keys(_t(spark, sf_dir, "customer"), known, "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')")
@@ -441,10 +444,10 @@ def batch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch_id", "status", "total_rows", F.coalesce("error_details", F.lit("")).alias("details"))
 
 
-@_query("SELECT event_id, event_type, CAST(ts AS VARCHAR) IS NOT NULL AS has_time, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS place FROM events")
+@_query("SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS place FROM events")
 def step_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = relational.ranked(_t(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "place")
-    return out.select("event_id", "event_type", F.col("ts").cast("string").isNotNull().alias("has_time"), "place")
+    return out.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "place")
 
 
 @_query("SELECT event_id, event_type FROM events WHERE event_type LIKE 'er%'")
@@ -453,9 +456,9 @@ def failed_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "SELECT zone, role, can_read, can_write FROM (VALUES "
-    + ", ".join(f"('{z}', '{r}', {'r' in a}, {'w' in a})" for z, by in catalog.ACCESS.items() for r, a in by.items())
-    + ") AS v(zone, role, can_read, can_write)"
+    "SELECT zone, role, role = 'admin' OR role = 'compliance' OR zone = 'provenance' OR role = 'engineer' AND zone IN ('curated', 'ready', 'versioned') "
+    "OR role = 'scientist' AND zone IN ('ready', 'versioned') AS can_read, role = 'admin' AS can_write "
+    "FROM (VALUES ('raw'), ('curated'), ('ready'), ('versioned'), ('provenance'), ('audit')) AS z(zone), (VALUES ('admin'), ('compliance'), ('engineer'), ('scientist'), ('api_user')) AS r(role)"
 )
 def access_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.access_rows(spark)
@@ -624,7 +627,14 @@ def catalogue_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).table("rules_applied").select("batch_id", "rule_id", "description")
 
 
-@_query("SELECT 'steps' AS name, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'rules_applied', 0 UNION ALL SELECT 'control_detail', 0")
+@_query(
+    "SELECT 'steps' AS name, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'rules_applied', 0 UNION ALL SELECT 'control_detail', count(*) FROM region"
+)
 def catalogue_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _filled(spark, sf_dir).orphans()
+    """Steps of customers, who are no batches, and details of controls without a header are planted."""
+    c = _filled(spark, sf_dir)
+    strangers = _t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("batch_id"))
+    c.record_steps(strangers.withColumns({"step_name": F.lit("INGEST"), "details_json": F.lit("{}")}))
+    c.append("control_detail", _t(spark, sf_dir, "region").select(F.col("r_name").alias("control_id")))
+    found = c.orphans()
     return canonical.unite([rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in found.items()])

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from strandline.queries import ORACLE_SQL, QUERIES
+from strandline.pipeline_queries import ORACLE_SQL, QUERIES
 
 
 def plain(v):
