@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,18 +42,55 @@ def thinned(key: Column, want: int, total: int | Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << 30)) * (total if isinstance(total, Column) else F.lit(total)) < F.lit(2 << 30) * F.lit(want)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: a cut lineage that survives lost executors."""
+class Temporary:
+    """What was settled and held for the work in hand, to be freed when its result is written. Within the block settle() and hold()
+    register what they make; at its end all of it is freed. Blocks may be nested: the innermost counts."""
+
+    _open: ClassVar[list[Temporary]] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.held = spark, [], []
+
+    def __enter__(self) -> Temporary:
+        self._open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._open.remove(self)
+        for df in self.held:
+            df.unpersist()
+        for path in self.paths:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settle(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of df, written once to the shared folder and read back: a cut lineage that survives lost executors. A path that is
+    given is the caller's to delete."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    if path is None:
+        path = settled_path(spark)
+        if Temporary._open:
+            Temporary._open[-1].paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+
+
 def hold(df: DataFrame) -> DataFrame:
     """df, kept on the executors' disks once made. Its lineage stays: what a lost executor held is made again. For tables
     that are read a few times soon; where lineage must be cut, settle() is used."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    if Temporary._open:
+        Temporary._open[-1].held.append(df)
+    return df
 
 
 def lower_ascii(c: Column) -> Column:

@@ -11,8 +11,9 @@ are linked if the similarity of their sets reaches the threshold. The steps:
    the bound leaves the loss of a true link below one in a million. The others are confirmed on their full sets.
 4. Confirmed links give components. Buckets that still hold several components may hide links between them: there, finer
    sketches tell near from not near enough; classes are paired with the most famous of each bucket, and what is then
-   still apart is joined, component against component, under the finer bound. A link inside a component can't change
-   it and isn't sought.
+   still apart is joined, component against component, under the finer bound; a bucket's one side is split and its other
+   side repeated by its size, so that no task holds a large bucket. A link inside a component can't change it and isn't
+   sought.
 5. Components are found by alternating stars over tables in the shared folder; nothing is gathered on the driver.
 
 Defined results. A null or empty text, or one without words, has an empty set, is linked with nothing and is its own
@@ -51,6 +52,7 @@ class Settings:
     fine_words: int = 32
     fine_bits: int = 364  # at the threshold 265 on average, with a deviation of 19; 0.75 gives 400 or so
     filter_bits: int = 26  # most bits of the bitmap of ids, as a power of two: 8 MB
+    split_rows: int = 2_000  # of a bucket's classes that one task joins with the others of the bucket
     chunk_bytes: int = 1 << 18  # of texts hashed at once
 
 
@@ -199,8 +201,14 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(
     """id, shingles and (empty unless asked for) the finer sketch of the docs (doc_id, text) named in ids (id).
 
     The texts are passed once more, without a shuffle; only the sets of named ids (and of the few others that a bitmap of
-    hashed ids lets through) are made. Where ids may be repeated, equal sets of an id become one."""
-    size, bitmap = _filter_of(ids, settings)
+    hashed ids lets through) are made. Ids too many for a bitmap of bounded size meet the texts in a join instead. Where ids
+    may be repeated, equal sets of an id become one."""
+    n = ids.count()
+    if 16 * n < 1 << settings.filter_bits:
+        size, bitmap = _filter_of(ids, n)
+    else:
+        docs = docs.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+        size, bitmap = 64, np.full(1, -1, np.int64)
     bit = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1)).alias("bit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,11 +248,14 @@ def _sketched(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataF
     return both.where(_like_sizes(settings) & _near(settings.sketch_words, settings.sketch_bits)).select("a", "b").distinct()
 
 
-def _filter_of(ids: DataFrame, settings: Settings) -> tuple[int, np.ndarray]:
-    """A bitmap of hashed ids: its size in bits, bounded by filter_bits, and its words. At most 2 ** filter_bits / 64 rows
-    come to the driver, whatever the number of ids; where they are too many, the bitmap lets more rows through."""
-    n = ids.count()
-    size = 1 << min(settings.filter_bits, max(10, (16 * n).bit_length()))
+#: A similarity of 0.8 instead of 0.85: 36 bands miss a pair at the threshold once in 1.6 million; the sketches' bounds follow as in
+#: Settings (36 unequal values of 180 on average, with a deviation of 5.4; 338 finer bits, with one of 19).
+FOUR_FIFTHS = Settings(percent=80, bands=36, sketch_bits=136, fine_bits=437)
+
+
+def _filter_of(ids: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """A bitmap of n hashed ids: its size in bits, sixteen or more for each, and its words, which come to the driver."""
+    size = 1 << max(10, (16 * n).bit_length())
     bit = F.xxhash64("id").bitwiseAND(F.lit(size - 1))
     words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("m"))
     bitmap = np.zeros(size >> 6, np.int64)
@@ -317,14 +328,19 @@ def link_classes(classes: DataFrame, docs: DataFrame, settings: Settings, *, rep
 
     # Last all pairs of different components that such buckets still hold, each pair in the first band it shares.
     labelled = rest.select("key", "place", "id").join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    split = labelled.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).where("_x <> _y").select("key")
+    split = labelled.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y"), F.count("*").alias("_n")).where("_x <> _y")
+    split = split.select("key", F.ceil(F.col("_n") / settings.split_rows).cast("int").alias("shares"))
     left = settle(labelled.select("key", "place", "id", "c").join(split, "key").join(finer, "id"))
-    one = lambda n: left.select(
-        *[F.col(c).alias(f"{k}{n}") for k, c in (("k", "key"), ("", "id"), ("c", "c"), ("n", "n_shingles"), ("s", "sketch"), ("b", "bands"), ("p", "place"))]
-    )
+
+    def one(n: str, share: Column) -> DataFrame:
+        fields = (("k", "key"), ("", "id"), ("c", "c"), ("n", "n_shingles"), ("s", "sketch"), ("b", "bands"), ("p", "place"))
+        return left.select(share.alias(f"h{n}"), *[F.col(c).alias(f"{k}{n}") for k, c in fields])
+
+    own = F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("pa") + 1
-    here = (F.col("ka") == F.col("kb")) & (F.col("ca") < F.col("cb")) & near & first
-    pairs = settle(one("a").join(one("b"), here).select("a", "b").distinct())
+    here = (F.col("ka") == F.col("kb")) & (F.col("ha") == F.col("hb")) & (F.col("ca") < F.col("cb")) & near & first
+    pairs = settle(one("a", own).join(one("b", every), here).select("a", "b").distinct())
     if pairs.isEmpty():
         return found
     return components(links.unionByName(confirm(pairs, sets, settings)))

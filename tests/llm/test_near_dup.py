@@ -47,7 +47,11 @@ def found(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
 
 
-def test_groups_are_those_of_all_pairs(spark):
+SETTINGS = {"default": nd.Settings(), "split": nd.Settings(split_rows=2, filter_bits=4), "four fifths": nd.FOUR_FIFTHS}
+
+
+@pytest.mark.parametrize("name", SETTINGS)
+def test_groups_are_those_of_all_pairs(spark, name):
     """Copies, chains of edits and many copies around the threshold, with unlike texts between."""
     rng = random.Random(0)
     texts = []
@@ -62,9 +66,32 @@ def test_groups_are_those_of_all_pairs(spark):
     texts += [prose(200 + i, rng.randint(1, 80)) for i in range(40)]
     ids = rng.sample(range(10**6), len(texts))
     rows = list(zip(ids, texts, strict=True))
-    want = brute(rows)
+    settings = SETTINGS[name]
+    want = brute(rows, settings.percent)
     assert len({c for _, c in want.values()}) < len(rows) - 50
-    assert found(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert found(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings)) == want
+
+
+def test_a_large_bucket_is_split_and_whole(spark):
+    """Many texts that share a frame and are near, but not near enough, with a few links hidden among them."""
+    rng = random.Random(5)
+    base = prose(77, 220).split()
+    texts = [" ".join(w if rng.random() < 0.965 else f"z{rng.randrange(10**6)}" for w in base) for _ in range(120)]
+    texts += [edited(t, rng, 2) for t in texts[::15]]
+    rows = list(enumerate(texts, 1))
+    assert found(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), nd.Settings(split_rows=7))) == brute(rows)
+
+
+def test_what_was_made_is_freed(spark, tmp_path):
+    from strandline.llm import common
+
+    docs = spark.createDataFrame([(i, prose(i % 7, 40)) for i in range(30)], "doc_id long, text string")
+    kept = common.settled_path(spark)
+    with common.Temporary(spark) as made:
+        out = common.settle(nd.near_duplicates(docs), kept)
+    assert made.paths and made.held and not common.Temporary._open
+    assert not any(spark.sparkContext._jvm.java.io.File(p.removeprefix("file://")).exists() for p in made.paths)
+    assert not any(df.is_cached for df in made.held) and out.where("kept").count() == 7
 
 
 def test_table(spark, sf_dir):
@@ -98,16 +125,18 @@ def test_whitespace_and_case_follow_the_contract():
     assert len(one) == len(two) == 1 and one != two
 
 
-def test_sketch_bounds_lose_nothing():
+@pytest.mark.parametrize("settings, shared", [(nd.Settings(), 400), (nd.FOUR_FIFTHS, 387)])
+def test_sketch_bounds_lose_nothing(settings, shared):
     """Pairs at the threshold, far more than would show one lost in a thousand."""
     rng = np.random.default_rng(0)
-    h = nd.Hasher()
+    h = nd.Hasher(settings)
     s = h.settings
     pool = nd.scramble(np.arange(1, 400_000, dtype=np.uint64))
     sets = []
     for _ in range(300):
         x = rng.choice(pool, 470, replace=False)
-        sets += [np.sort(x[:435]), np.sort(np.concatenate([x[:400], x[435:]]))]  # 400 of 470 are shared: 0.851
+        own = 435 - shared  # of 435 elements each
+        sets += [np.sort(x[:435]), np.sort(np.concatenate([x[:shared], x[435 : 435 + own]]))]  # 0.851 and 0.801
     coarse, fine = h.digests(sets)[2], h.fine_sketches(sets)
     bits = lambda k: np.bitwise_count(k[::2] ^ k[1::2]).sum(axis=1)
     assert bits(coarse).max() <= s.sketch_bits and bits(fine).max() <= s.fine_bits
