@@ -2,8 +2,9 @@
 
 Each stage takes all documents that the stage before it kept. Columns other than doc_id and text pass through untouched,
 whatever their names. Defined results: a document without a letter, or whose language is not clear, goes in the first
-stage, and so do null and empty texts; of rows that repeat an id one stays after the third; rows with a null id are
-judged like others, but as duplicates they cannot be named and stay. An empty table gives an empty result.
+stage, and so do null and empty texts; of rows that repeat an id and a text one stays after the third, and unlike texts under
+one id stay; rows with a null id are judged like others, but as duplicates they cannot be named and stay. An empty table
+gives an empty result. Near-duplicates share four fifths of their five-word shingles or more.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, language_id, near_dup, quality_rules, subword
-from strandline.llm.common import fold, free_name, settle, small_batches, table
+from strandline.llm.common import Temporary, delete, fold, free_name, settle, settled_path, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +33,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id. The ids to drop are as many as the
     documents allow, so they meet them in a shuffle, never in a broadcast."""
-    found = settle(near_dup.near_duplicates(docs.select("doc_id", "text")))
+    with Temporary(spark):
+        found = settle(near_dup.near_duplicates(docs.select("doc_id", "text"), near_dup.FOUR_FIFTHS), settled_path(spark))
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(dropped.hint("merge"), "doc_id", "left_anti")
     repeated = settle(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not repeated.isEmpty():
-        once = left.join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        once = left.join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         left = left.join(repeated.hint("merge"), "doc_id", "left_anti").unionByName(once)
     return left.select(*docs.columns)
 
@@ -69,9 +71,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = settle(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        path = settled_path(spark)
+        with Temporary(spark):
+            docs = settle(stage(spark, docs, sf_dir), path)
+        if before:
+            delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
