@@ -191,6 +191,16 @@ def test_versions(spark, tmp_path):
     assert [r[0] for r in commits_of(t.snapshot()).collect()] == ["20250103", "20250102"]
     with pytest.raises(ValueError):
         t.upsert(first, "20250102")
+    written = {f.parent.name for f in (tmp_path / "t" / "commit_time=20250103").rglob("*.parquet")}
+    assert 1 <= len(written) <= 2  # of sixteen buckets only those of the two keys
+    hashes = [r["content_hash"] for r in t.log().orderBy("commit_time").collect()]
+    assert len(set(hashes)) == 3
+    again = VersionedTable(spark, str(tmp_path / "again"))
+    again.upsert(t.snapshot().drop("_commit_time"), "20250103")
+    assert values(again.snapshot()) == values(t.snapshot())
+    none = VersionedTable(spark, str(tmp_path / "none"))
+    assert none.upsert(first.limit(0), "1") == {"inserted": 0, "updated": 0, "row_count": 0} and none.snapshot().columns == [*first.columns, "_commit_time"]
+    assert none.upsert(first, "2")["inserted"] == 3 and none.upsert(first.limit(0), "3")["row_count"] == 3 and none.snapshot().count() == 3
     e = VersionedTable(spark, str(tmp_path / "e"), mode=EVENT_TIME)
     e.upsert(first, "1")
     e.upsert(spark.createDataFrame([("a", "1", 8), ("b", "1", 6), ("c", "9", 7)], schema), "2")
