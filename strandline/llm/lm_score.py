@@ -11,9 +11,10 @@ is the text's total bits.
 Learning. Two passes over the training documents: byte and word counts, then context counts, of all of them. Every task
 adds up the contexts it meets, sorted by hash, and sends them to be summed by part. Tables are sized by the contexts
 found: two slots or more for each, however many they are (hashes have 31 bits). Scoring tasks map them from a file that the
-workers of an executor share, a byte a slot. Gate weights are fitted on bits spread evenly over a bounded sample of training
-documents, chosen and ordered by hash; a sampled document's own counts are taken off the counts that its bits see.
-Nothing depends on how the rows lie in files.
+workers of an executor share, a byte a slot. Gate weights are fitted on every bit of every training document: a slot's counts
+tell how often each bit met it, and what the slot says once that bit is taken off. For each predictor and confidence the
+weight is that of least cost over all those bits; as the predictors share much of what they know, a fixed part of it is
+used. Nothing depends on how the rows lie in files.
 
 Base. The sum over tokens of log10((c + 1) / (N + V + 1)). Counts of the most frequent words, a bounded number, go to the
 scoring tasks; all other words are joined with their counts in a shuffle, by 64-bit hashes, so the sum is whole.
@@ -56,7 +57,8 @@ _PARTS[[0, 32, *range(9, 14)]] = True
 class Settings:
     contexts: tuple[int, ...] = (3, 5, WORD)  # bytes before, or the word so far
     head_words: int = 200_000  # words whose counts scoring tasks hold
-    sample_docs: int = 256  # training documents on which gate weights are fitted, about
+    share: float = 0.5  # of the weight a predictor would have alone
+    sample_docs: int = 0  # for comparison: gates are fitted jointly, on about so many training documents instead of all
     sample_bits: int = 2_000  # of each of them, evenly spread
     row: int = 128  # bits of the shortest block, the one between two refinements
     growth: int = 8  # a block is this part of what came before it, at least a row
@@ -329,15 +331,32 @@ COUNTS = T.StructType(
     ]
 )
 TABLES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType())])
-
-
-def _add_up(packed: list[np.ndarray], shift: int) -> np.ndarray:
-    """Numbers (key << shift | count), sorted, with the counts of equal keys added up."""
-    x = np.concatenate(packed)
+CODES = T.StructType([*TABLES.fields, T.StructField("seen", T.BinaryType())])
+
+
+def _add_up(packed: list[np.ndarray], shift: int, block: int = 1 << 18) -> np.ndarray:
+    """Numbers (key << shift | count), sorted, with the counts of equal keys added up. The list is emptied, and sums are made
+    block by block in place: memory holds the numbers once."""
+    x, at = np.empty(sum(map(len, packed)), np.uint64), 0
+    while packed:
+        some = packed.pop()
+        x[at : at + len(some)] = some
+        at += len(some)
+    some = None
     x.sort()
-    keys = x >> np.uint64(shift)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return (keys[first] << np.uint64(shift)) + np.add.reduceat(x & np.uint64((1 << shift) - 1), first)
+    up, low, done = np.uint64(shift), np.uint64((1 << shift) - 1), 0
+    for begin in range(0, len(x), block):
+        counts = x[begin : begin + block] & low
+        keys = x[begin : begin + block] >> up
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = (keys[first] << up) + np.add.reduceat(counts, first)
+        if done and x[done - 1] >> up == keys[0]:  # a key that the block before began
+            x[done - 1] += sums[0] & low
+            sums = sums[1:]
+        x[done : done + len(sums)] = sums
+        done += len(sums)
+    x.resize(done, refcheck=False)
+    return x
 
 
 def _pack(packed: np.ndarray, shift: int, pack: zstandard.ZstdCompressor) -> bytes:
@@ -391,7 +410,6 @@ def count_contexts(docs: DataFrame, code: Code, parts: int, settings: Settings)
             if not held[k]:
                 continue
             sums = _add_up(held[k], 32)
-            held[k].clear()
             ends = np.searchsorted(sums, np.arange(1, 1 << parts, dtype=np.uint64) << own) if parts else []
             rows = [(k << parts | j, 0, _pack(x, 32, pack)) for j, x in enumerate(np.split(sums, ends)) if len(x)]
             for at in range(0, len(rows), 32):
@@ -405,7 +423,7 @@ def count_contexts(docs: DataFrame, code: Code, parts: int, settings: Settings)
             for group in _groups(stretches, settings.count_bytes, lambda p: len(p[1])):
                 for k, keys in enumerate(bit_keys(group, code, settings)):
                     held[k].append(packed_counts(keys))
-                    if sum(map(len, held[k])) > 2 * kept[k] + settings.held_counts // 4:
+                    if sum(map(len, held[k])) > kept[k] + settings.held_counts // 4:
                         held[k] = [_add_up(held[k], 32)]
                         kept[k] = len(held[k][0])
                 if sum(kept) > settings.held_counts:
@@ -443,7 +461,7 @@ def count_contexts(docs: DataFrame, code: Code, parts: int, settings: Settings)
 
 
 def quantised(counts: DataFrame, parts: int, bits: list[int]) -> DataFrame:
-    """Rows (part, data): the codes of all slots of a part, where predictor k has 2 ** bits[k] slots."""
+    """Rows (part, data, seen): the codes of all slots of a part, where predictor k has 2 ** bits[k] slots, and left_out()."""
     shift = 32 + parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,9 +472,10 @@ def quantised(counts: DataFrame, parts: int, bits: list[int]) -> DataFrame:
                 keys, n = x >> np.uint64(shift), x & np.uint64((1 << shift) - 1)
                 at = (keys >> np.uint64(32 - bits[part >> parts])).astype(np.int64)
                 pairs = _pairs(keys, n, at, 1 << bits[part >> parts] - parts)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack.compress(codes(pairs))], pa.binary())], names=TABLES.names)
+                data, seen = pack.compress(codes(pairs)), left_out(pairs).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary()), pa.array([seen], pa.binary())], names=CODES.names)
 
-    return counts.select("part", "data").mapInArrow(run, TABLES)
+    return counts.select("part", "data").mapInArrow(run, CODES)
 
 
 def table_bits(slots: int, parts: int) -> int:
@@ -519,6 +538,23 @@ def codes(pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+def left_out(pairs: np.ndarray, few: int = 64) -> np.ndarray:
+    """By bit and code, how many of the bits counted in pairs find that code in their slot once they are taken off it themselves."""
+    zeros, ones = pairs[:, np.flatnonzero(pairs[0] + pairs[1])].astype(np.int64)
+    small = (zeros < few) & (ones < few)  # most of them: equal pairs are taken at once
+    times = np.bincount(zeros[small] * few + ones[small], minlength=few * few)
+    kinds = np.flatnonzero(times)
+    pairs = np.concatenate([np.stack([kinds // few, kinds % few]), np.stack([zeros[~small], ones[~small]])], axis=1)
+    times = np.append(times[kinds], np.ones(len(pairs[0]) - len(kinds), np.int64))
+    out = np.zeros((2, 256))
+    for bit in (0, 1):
+        some = pairs[bit] > 0
+        less = pairs[:, some].astype(float)
+        less[bit] -= 1
+        out[bit] = np.bincount(codes(less), (times * pairs[bit])[some], 256)
+    return out
+
+
 def _places(symbol: np.ndarray, times: np.ndarray, code: Code) -> np.ndarray:
     """The place in the code of each bit: the run of its symbol's places, repeated times beyond its length as filling."""
     ends = np.cumsum(times)
@@ -689,8 +725,10 @@ def _gate_bits(text: bytes, code: Code, bits: list[int], settings: Settings) ->
 
 def gate_sample(training: DataFrame, code: Code, bits: list[int], total: int, settings: Settings) -> list:
     """For some training documents, chosen and ordered by their rows' hashes, some of their bits, evenly spread: the bit, its slots, and
-    the document's own counts (zeros, ones) there. About sample_docs rows, of at most sample_bits bits each."""
+    the document's own counts (zeros, ones) there. About sample_docs rows, of at most sample_bits bits each; none by default."""
     want = settings.sample_docs
+    if not want:
+        return []
     key = F.xxhash64("doc_id", "text")
     some = F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * min(1.0, want / max(total, 1)))
 
@@ -705,12 +743,13 @@ def gate_sample(training: DataFrame, code: Code, bits: list[int], total: int, se
     return found.orderBy("hash", "slots").limit(4 * want).collect()
 
 
-def fit_weights(sample: list, counts: list[np.ndarray], wanted: list[np.ndarray], settings: Settings) -> np.ndarray:
-    """Weights by predictor and confidence: a ridge logistic regression over the sample's bits."""
+def fit_weights(seen: np.ndarray, sample: list, counts: list[np.ndarray], wanted: list[np.ndarray], settings: Settings) -> np.ndarray:
+    """Weights by predictor and confidence: from all training bits, seen by predictor as left_out() gives them; where there is a
+    sample, a ridge logistic regression over its bits."""
     k = len(wanted)
     start = np.full(k * 8, 1.0 / k)
     if not sample:
-        return start.reshape(k, 8)
+        return settings.share * single_weights(seen)
     bit = np.concatenate([np.frombuffer(r["bit"], np.uint8) for r in sample])
     slots = np.concatenate([np.frombuffer(r["slots"], np.uint32).reshape(k, -1) for r in sample], axis=1)
     own = np.concatenate([np.frombuffer(r["own"], np.uint32).reshape(k, 2, -1) for r in sample], axis=2)
@@ -721,6 +760,19 @@ def fit_weights(sample: list, counts: list[np.ndarray], wanted: list[np.ndarray]
     return _fit(x, y, start, 10.0).reshape(k, 8)
 
 
+def single_weights(seen: np.ndarray, pull: float = 10.0, most: float = 4.0) -> np.ndarray:
+    """By predictor and confidence the weight of least log loss of that predictor alone, with a pull towards 1: the zero of a
+    slope that grows with the weight, between 0 and most."""
+    zeros, ones = np.moveaxis(seen.reshape(len(seen), 2, 8, 32), 1, 0)
+    low, high = np.zeros(zeros.shape[:2]), np.full(zeros.shape[:2], most)
+    for _ in range(40):
+        w = (low + high) / 2
+        p = 1 / (1 + np.exp(-w[..., None] * ODDS))
+        up = ((p * zeros - (1 - p) * ones) * ODDS).sum(axis=-1) + pull * (w - 1) > 0
+        low, high = np.where(up, low, w), np.where(up, w, high)
+    return (low + high) / 2
+
+
 def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float) -> np.ndarray:
     """The weights of least log loss, with a pull towards the prior: damped Newton steps."""
     w, blocks = prior, [slice(a, a + 65536) for a in range(0, len(y), 65536)]
@@ -824,18 +876,20 @@ def score_documents(docs: DataFrame, training: DataFrame, settings: Settings = S
             slots[row["k"]] = row["n"]
     bits = [table_bits(n, parts) for n in slots]
     tables, sample, known_at, wanted = [np.full(1 << b, EMPTY, np.uint8) for b in bits], [], [], [np.zeros(0, np.int64)] * len(bits)
+    seen = np.zeros((len(bits), 2, 256))
     if n_train:
         sample = gate_sample(training, code, bits, n_train, settings)
         if sample:
-            seen = np.concatenate([np.frombuffer(r["slots"], np.uint32).reshape(len(bits), -1) for r in sample], axis=1)
-            wanted = [np.unique(x).astype(np.int64) for x in seen]
+            found = np.concatenate([np.frombuffer(r["slots"], np.uint32).reshape(len(bits), -1) for r in sample], axis=1)
+            wanted = [np.unique(x).astype(np.int64) for x in found]
             known_at = counts_at(contexts, parts, bits, wanted)
         unpack = zstandard.ZstdDecompressor()
         for row in quantised(contexts, parts, bits).toLocalIterator():  # one part at a time
             k, j = row["part"] >> parts, row["part"] & (1 << parts) - 1
             size = len(tables[k]) >> parts
             tables[k][j * size : (j + 1) * size] = np.frombuffer(unpack.decompress(row["data"]), np.uint8)
-    weights = fit_weights(sample, known_at, wanted, settings)
+            seen[k] += np.frombuffer(row["seen"]).reshape(2, 256)
+    weights = fit_weights(seen, sample, known_at, wanted, settings)
     name, packed = f"lm-{uuid.uuid4().hex}", spark.sparkContext.broadcast(packed_votes(tables, weights))
     floor = n_all + n_kinds + 1
     shared = spark.sparkContext.broadcast((code, bits, head))

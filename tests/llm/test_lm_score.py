@@ -260,3 +260,68 @@ def test_tables_grow_with_the_contexts(spark):
             assert found == lm.codes(pairs)[part * size : (part + 1) * size].tobytes()
     for n in (1, 5_000, 1 << 22, 50_000_000, 1 << 29):
         assert 2 * n <= 1 << lm.table_bits(n, 0) <= max(1024, 4 * n)
+
+
+def test_sums_are_made_in_place_block_by_block():
+    rng = np.random.default_rng(0)
+    for shift, high in ((32, 1 << 32), (35, 1 << 29)):
+        packed = [(rng.integers(high - 40, high, n).astype(np.uint64) << np.uint64(shift)) | rng.integers(1, 9, n).astype(np.uint64) for n in (0, 1, 50, 300)]
+        want = Counter()
+        for x in np.concatenate(packed).tolist():
+            want[x >> shift] += x & (1 << shift) - 1
+        for block in (1, 3, 64, 1000):
+            found = packed.copy()
+            sums = lm._add_up(found, shift, block).tolist()
+            assert not found and sums == sorted(key << shift | n for key, n in want.items())
+    assert not len(lm._add_up([], 32))
+
+
+def test_adding_up_holds_the_numbers_once():
+    import tracemalloc
+
+    packed = [np.sort(np.random.default_rng(i).integers(0, 1 << 62, 1 << 20).astype(np.uint64)) for i in range(4)]
+    whole = sum(x.nbytes for x in packed)
+    tracemalloc.start()
+    lm._add_up(packed, 32)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * whole  # beside the numbers that came; three times as much before
+
+
+def test_each_bit_is_left_out_of_its_slot():
+    rng = np.random.default_rng(0)
+    pairs = np.concatenate([rng.integers(0, 4, (2, 300)), rng.integers(0, 500, (2, 40))], axis=1).astype(float)
+    want = np.zeros((2, 256))
+    for zeros, ones in pairs.T.tolist():
+        for _ in range(int(zeros)):
+            want[0, lm.codes(np.array([[zeros - 1], [ones]]))[0]] += 1
+        for _ in range(int(ones)):
+            want[1, lm.codes(np.array([[zeros], [ones - 1]]))[0]] += 1
+    assert (lm.left_out(pairs) == want).all() and want.sum() == pairs.sum()
+    assert not lm.left_out(np.zeros((2, 5))).any()
+
+
+def test_gates_come_from_all_training_documents(spark, sf_dir, monkeypatch):
+    """Weights are fitted on each bit of each training document, whatever the layout, and no sample is drawn."""
+    kept, fit = [], lm.fit_weights
+    monkeypatch.setattr(lm, "fit_weights", lambda seen, sample, *a: kept.append((seen, sample)) or fit(seen, sample, *a))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("n_chars < 600")
+    for rows in (docs, docs.repartition(5, "text")):
+        lm.score_documents(rows, rows)
+    texts = [lm.plain(r["text"]) for r in docs.collect()]
+    symbols = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=257)
+    symbols[lm.END] = len(texts)
+    n_bits = int((lm.Code(symbols).length * symbols).sum())
+    for seen, sample in kept:
+        assert not sample and (seen.sum(axis=(1, 2)) == n_bits).all()
+    assert (kept[0][0] == kept[1][0]).all()
+
+
+def test_weights_are_of_least_cost():
+    rng = np.random.default_rng(0)
+    seen = rng.integers(0, 1000, (2, 2, 256)).astype(float)
+    at = np.arange(256)
+    seen[:, 1] = seen[:, 0] * np.exp(0.7 * lm.ODDS[at & 31])  # log-odds are seven tenths of what the codes say
+    found = lm.single_weights(seen)
+    assert found[:, 1:] == pytest.approx(0.7, abs=0.02)
+    assert lm.single_weights(np.zeros((3, 2, 256))) == pytest.approx(1)
