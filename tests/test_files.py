@@ -280,3 +280,18 @@ def test_generated_feeds_pass_the_pipeline(spark, tmp_path):
     assert got == want
     ready = spark.read.option("mergeSchema", True).parquet(*[r["version_path"] for r in p.catalog.batches().select("version_path").distinct().collect()])
     assert ready.count() == 180 and ready.where("note_text LIKE '%555-%' OR note_text LIKE '%@%' OR note_text LIKE '% Mill Road%'").count() == 0
+
+
+def test_feeds_take_suppliers_of_any_key(spark, sf_dir):
+    """Suppliers lie in the file that their key's parity names, however large the key; the second same.jsonl has nations alone."""
+    from strandline import pipeline_queries as pq
+
+    real, many = pq._t, spark.range(990, 1040).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "CAST(3 AS INT) AS s_nationkey")
+    pq._t = lambda spark, sf_dir, name, *a: many if name == "supplier" else real(spark, sf_dir, name, *a)
+    try:
+        feeds = pq._feeds(spark, sf_dir)
+        found = {r["file"]: r["n"] for r in feeds["clinic_b"].groupBy("file").agg(F.count("*").alias("n")).collect()}
+        again = [(r["file"], r["n"]) for r in feeds["clinic_b again"].groupBy("file").agg(F.count("*").alias("n")).collect()]
+    finally:
+        pq._t = real
+    assert found == {"even.jsonl": 25, "odd.jsonl": 25, "same.jsonl": 5} and again == [("same.jsonl", 25)]
