@@ -64,7 +64,8 @@ class Settings:
     growth: int = 8  # a block is this part of what came before it, at least a row
     rate: float = 0.02
     chunk_bytes: int = 1 << 18  # of texts scored side by side, and of the pieces of longer ones
-    count_bytes: int = 1 << 19  # texts counted at once
+    count_bytes: int = 1 << 19  # of texts whose contexts are hashed at once
+    joined_bytes: int = 1 << 22  # of texts whose contexts are counted at once
     held_counts: int = 1 << 23  # of contexts, which a task adds up before it sends them
     tally_bytes: int = 1 << 25  # of texts whose words a task adds up before it sends their counts
     probe_bits: int = 21  # of the table in which scoring tasks look words up
@@ -98,6 +99,7 @@ class Code:
         self.salt = np.append(_mix(_mix(np.array(nodes, np.uint32))), np.uint32(0))
         self.bit = np.append(np.array(bits, np.int8), np.int8(0))
         self.sign = np.append(np.array(bits, np.float32) * 2 - 1, np.float32(0))
+        self.eighth = self.sign / np.float32(8)
         self.fill = len(nodes)
 
 
@@ -334,7 +336,7 @@ TABLES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("da
 CODES = T.StructType([*TABLES.fields, T.StructField("seen", T.BinaryType())])
 
 
-def _add_up(packed: list[np.ndarray], shift: int, block: int = 1 << 18) -> np.ndarray:
+def _add_up(packed: list[np.ndarray], shift: int, block: int = 1 << 16) -> np.ndarray:
     """Numbers (key << shift | count), sorted, with the counts of equal keys added up. The list is emptied, and sums are made
     block by block in place: memory holds the numbers once."""
     x, at = np.empty(sum(map(len, packed)), np.uint64), 0
@@ -346,10 +348,10 @@ def _add_up(packed: list[np.ndarray], shift: int, block: int = 1 << 18) -> np.nd
     x.sort()
     up, low, done = np.uint64(shift), np.uint64((1 << shift) - 1), 0
     for begin in range(0, len(x), block):
-        counts = x[begin : begin + block] & low
+        counts = np.cumsum(x[begin : begin + block] & low, dtype=np.uint64)
         keys = x[begin : begin + block] >> up
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sums = (keys[first] << up) + np.add.reduceat(counts, first)
+        last = np.append(np.flatnonzero(keys[1:] != keys[:-1]), len(keys) - 1)
+        sums = (keys[last] << up) + np.diff(counts[last], prepend=np.uint64(0))
         if done and x[done - 1] >> up == keys[0]:  # a key that the block before began
             x[done - 1] += sums[0] & low
             sums = sums[1:]
@@ -390,12 +392,21 @@ def bit_keys(parts: list[Part], code: Code, settings: Settings) -> Iterator[np.n
         yield h
 
 
-def packed_counts(keys: np.ndarray) -> np.ndarray:
-    """Numbers (key << 32 | count) of the distinct keys, in order. keys are sorted in place."""
-    keys.sort()
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    n = np.diff(first, append=len(keys)).astype(np.uint64)
-    return (keys[first].astype(np.uint64) << np.uint64(32)) | n
+def bit_counts(context: np.ndarray, symbol: np.ndarray, code: Code) -> np.ndarray:
+    """Numbers (key << 32 | count), in order, of one predictor's keys as bit_keys() has them. Texts repeat themselves, so equal
+    pairs of context and symbol are counted first, and only unlike ones are spelled in bits."""
+    pairs = context.astype(np.uint64) << np.uint64(9)
+    pairs |= symbol.astype(np.uint64)
+    pairs.sort()
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    n, pairs = np.diff(first, append=len(pairs)).astype(np.uint64), pairs[first]
+    symbol = (pairs & np.uint64(511)).astype(np.int32)
+    times = code.length[symbol]
+    at = _places(symbol, times, code)
+    h = _hashes((pairs >> np.uint64(9)).astype(np.uint32), times, code.salt.take(at))
+    h &= np.uint32(0xFFFFFFFE)
+    h |= code.bit.take(at).astype(np.uint32)
+    return _add_up([h.astype(np.uint64) << np.uint64(32) | np.repeat(n, times)], 32)
 
 
 def count_contexts(docs: DataFrame, code: Code, parts: int, settings: Settings) -> DataFrame:
@@ -418,17 +429,34 @@ def count_contexts(docs: DataFrame, code: Code, parts: int, settings: Settings)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(kinds)]
         kept = [0] * kinds  # numbers left by the last adding up
+        places: list[list[np.ndarray]] = [[] for _ in range(kinds + 1)]  # contexts by predictor, then symbols
+
+        def spell() -> None:
+            """Counts the places and adds them to what is held."""
+            symbol = np.concatenate(places[kinds])
+            for k in range(kinds):
+                context = np.concatenate(places[k])
+                places[k].clear()
+                held[k].append(bit_counts(context, symbol, code))
+                if sum(map(len, held[k])) > kept[k] + settings.held_counts // 4:
+                    held[k] = [_add_up(held[k], 32)]
+                    kept[k] = len(held[k][0])
+            places[kinds].clear()
+
         for batch in slices(batches):
             stretches = (p for t in batch.column("text").to_pylist() for p in parts_of(plain(t), settings.count_bytes))
             for group in _groups(stretches, settings.count_bytes, lambda p: len(p[1])):
-                for k, keys in enumerate(bit_keys(group, code, settings)):
-                    held[k].append(packed_counts(keys))
-                    if sum(map(len, held[k])) > kept[k] + settings.held_counts // 4:
-                        held[k] = [_add_up(held[k], 32)]
-                        kept[k] = len(held[k][0])
-                if sum(kept) > settings.held_counts:
-                    yield from flush(held)
-                    kept = [0] * kinds
+                chunk = Chunk(group, settings)
+                coded = np.flatnonzero(chunk.coded)
+                for own, x in zip(places, [*chunk.contexts, chunk.symbol.astype(np.int16)], strict=True):
+                    own.append(x.take(coded))
+                if sum(map(len, places[kinds])) >= settings.joined_bytes:
+                    spell()
+                    if sum(kept) > settings.held_counts:
+                        yield from flush(held)
+                        kept[:] = [0] * kinds
+        if places[kinds]:
+            spell()
         yield from flush(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -600,7 +628,8 @@ class Mixer:
         at = _places(chunk.symbol, times, code)
         stop = np.cumsum(length + filling)
         at[np.repeat(stop - np.cumsum(filling), filling) + np.arange(int(filling.sum()))] = code.fill
-        salt, sign = code.salt.take(at), code.sign.take(at) / np.float32(8)
+        at = at.astype(np.intp)
+        salt, sign = code.salt.take(at), code.eighth.take(at)
         return [t.take(_slots(c, times, salt, b), mode="wrap") * sign for t, c, b in zip(self.tables, chunk.contexts, self.bits, strict=True)], length
 
     def _step_of(self, row: np.ndarray) -> np.ndarray:

@@ -325,3 +325,14 @@ def test_weights_are_of_least_cost():
     found = lm.single_weights(seen)
     assert found[:, 1:] == pytest.approx(0.7, abs=0.02)
     assert lm.single_weights(np.zeros((3, 2, 256))) == pytest.approx(1)
+
+
+def test_pairs_are_counted_before_they_are_spelled():
+    """The counts of all bits, by sorting no more than one number for each symbol."""
+    s = lm.Settings()
+    texts = [b"some words and some more words " * 9, b"", b"\xff\xc3\xa9 zz", b"a"]
+    code = lm.Code(np.bincount(np.frombuffer(b"".join(texts[:2]), np.uint8), minlength=257))
+    chunk = lm.Chunk([whole(t) for t in texts], s)
+    for context, keys in zip(chunk.contexts, lm.bit_keys([whole(t) for t in texts], code, s), strict=True):
+        found = lm.bit_counts(context[chunk.coded], chunk.symbol[chunk.coded], code).tolist()
+        assert found == [key << 32 | n for key, n in sorted(Counter(keys.tolist()).items())]
