@@ -285,7 +285,7 @@ def test_adding_up_holds_the_numbers_once():
     lm._add_up(packed, 32)
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert most < 1.5 * whole  # beside the numbers that came; three times as much before
+    assert most < 1.5 * whole  # beside the numbers that came; six times before
 
 
 def test_each_bit_is_left_out_of_its_slot():
